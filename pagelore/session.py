@@ -47,6 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df` from reliable files in the checkpoint folder; a lost executor costs no recomputation of what led to it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable on the executors, once for each application.
 
