@@ -85,8 +85,15 @@ def chunk_bounds(text: str) -> list[int]:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small views of the batches: Python objects exist for so many rows at a time only."""
     for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
         docs, seqs, texts = [], [], []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             start = 0
@@ -101,7 +108,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches, 1024):
             rows = [_encoded(enc, t) for t in b.column("chunk").to_pylist()]
             columns = [b.column("digest"), b.column("chunk"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())]
             columns += [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (2, 3, 4)]
@@ -164,7 +171,7 @@ def join_ids(enc, parts: list[tuple]) -> list[int]:
 def _assemble(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             ids = []
             for parts in b.column("parts").to_pylist():
                 ids.append(join_ids(enc, [(p["chunk"], p["head"], p["tail"], p["head_ids"], p["body_ids"], p["tail_ids"]) for p in parts]))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.corpus_tokens import encoder, tokenizer_path
+from pagelore.llm.corpus_tokens import encoder, slices, tokenizer_path
 
 GROUP_TEXTS = 10_000
 
@@ -40,7 +40,7 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32())], ["doc_id", "n_tokens"])
 
