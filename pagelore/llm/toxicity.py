@@ -43,7 +43,8 @@ MAX_LABELLED = 20_000  # bound of the labelled sample the weights are fitted on
 PRIOR_MASS = 1_000.0
 PRIOR_FLOOR = 0.3
 ROUNDS = 3
-DRIFT = 1.0  # taken from every token's weight, so that ordinary text scores below zero
+DRIFT = 1.75  # taken from each token, which has two weights, so that ordinary text scores below zero
+RATES = (0.7, 1.0)  # bounds of the Gumbel rate
 LEVEL = 1e-3  # expected chance passages in a document
 
 #: Digits and symbols that stand for letters inside words.
@@ -164,15 +165,16 @@ def _weights(bad: Counter, good: Counter, n_bad: float, n_good: float, backgroun
 def _calibrate(best: list[float], lengths: list[int]) -> tuple[float, float]:
     """lambda and K of the Gumbel law from documents rated clean that the weights have not seen.
 
-    The tail between the 90th and the 97th percentile gives the rate: the bulk
-    below is discrete, and what lies above may be raters' errors.
+    The tail between the 85th and the 95th percentile gives them: the bulk below
+    is discrete, and what lies above may be raters' errors. The rate is kept in
+    RATES, where log-odds of this scale can lie at all.
     """
     if len(best) < 30:
-        return 0.5, 0.02
-    high, higher = np.quantile(best, [0.90, 0.97])
-    rate = math.log(0.10 / 0.03) / max(higher - high, 1e-6)
-    rate = min(max(rate, 0.1), 1.0)
-    return rate, 0.03 * math.exp(rate * higher) / max(1.0, float(np.mean(lengths)))
+        return RATES[0], 0.02
+    high, higher = np.quantile(best, [0.85, 0.95])
+    rate = math.log(0.15 / 0.05) / max(higher - high, 1e-6)
+    rate = min(max(rate, RATES[0]), RATES[1])
+    return rate, 0.05 * math.exp(rate * higher) / max(1.0, float(np.mean(lengths)))
 
 
 def fit(texts: list[str], offensive: list[int], background: Counter | None = None) -> Model:
