@@ -37,8 +37,21 @@ SPACES = "\t               　"
 HYPHENS = "‐‑﹣－⁃"
 #: Blocks whose members map to their compatibility form: width variants and ligatures.
 WIDTH_BLOCKS = ((0xFF01, 0xFFEE), (0xFB00, 0xFB06))
-#: Combining marks that are composed with their base.
-MARKS = "̀-゙゚ͯ⃐-⃰"
+#: Half-width sound marks and the marks they stand for.
+HALF_MARKS = {"ﾞ": "\u3099", "ﾟ": "\u309a"}
+
+
+@lru_cache(maxsize=1)
+def marks() -> str:
+    """Characters that join the one before them, as a character class: combining
+    marks, and whatever is second in a canonical composition."""
+    joined = {*HALF_MARKS, *(chr(c) for c in (*range(0x300, 0x370), *range(0x20D0, 0x20F1), 0x3099, 0x309A))}
+    for code in range(0xA0, 0x1_1A00):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            joined.add(chr(int(parts[1], 16)))
+    joined.update(chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)))  # medial and final jamo
+    return "".join(re.escape(c) for c in sorted(joined))
 
 
 def _letters() -> dict[str, str]:
@@ -104,13 +117,15 @@ class Transducer:
         self.mapping = compile_mapping()
         self.letters = _letters()
         invisible = re.escape(INVISIBLE)
+        joins = marks()
         # a cluster: a base, and the marks on it, which invisible characters may interrupt
-        self.cluster = re.compile(f"\t|[\x00-\x7f](?=[{invisible}]*[{MARKS}])(?:[{invisible}]*[{MARKS}])+|[^\x00-\x7f](?:[{invisible}]*[{MARKS}])*")
+        self.cluster = re.compile(f"\t|[\x00-\x7f](?=[{invisible}]*[{joins}])(?:[{invisible}]*[{joins}])+|[^\x00-\x7f](?:[{invisible}]*[{joins}])*")
         self.memo: dict[str, str] = {"\t": " "}
 
     def _form(self, cluster: str) -> str:
         """Longest match first: the whole cluster composed, then its parts."""
         visible = "".join(c for c in cluster if c not in INVISIBLE)
+        visible = visible[:1] + "".join(HALF_MARKS.get(c, c) for c in visible[1:])
         base = "".join(self.mapping.get(c, c) for c in visible[:1])
         form = _compose(base + visible[1:], self.letters) if len(visible) > 1 else base
         if len(self.memo) < 65_536:

@@ -264,7 +264,7 @@ def fit_from_labels(documents: DataFrame, labels: DataFrame, max_labelled: int =
         one, two = features(tokenize(t))
         counts.update(one)
         counts.update(two)
-    vocabulary = spark.createDataFrame(pd.DataFrame({"word": [w for w in counts if w]}))
+    vocabulary = spark.createDataFrame([(w,) for w in counts if w], "word string")
     background = Counter({r["word"]: r["n"] for r in model_background(documents, vocabulary).collect()})
     return fit(texts, toxic, background)
 
