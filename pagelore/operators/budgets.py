@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pagelore.operators.folds import fold_groups
+
 
 def cap(df: DataFrame, by: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
     """At most `most` rows of each group, each with whether the group was truncated."""
@@ -21,21 +23,21 @@ def greedy_budget(df: DataFrame, by: Sequence[str], order: Sequence[str], costs:
     """Rows of each group that fit its budgets, in order; what does not fit is skipped, later rows may still fit.
 
     Adds taken and exhausted (some row of the group was skipped). The fold is
-    sequential by definition; each group is one Arrow batch.
+    sequential by definition. A null cost counts as 0.
     """
-    columns = df.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", taken boolean, exhausted boolean"
+    rest = [c for c in df.columns if c not in by]
+    ranked = [*order, *[c for c in rest if c not in order]]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
+    def fold(group: list[dict]) -> list[tuple]:
         spent, count, taken = dict.fromkeys(costs, 0.0), 0, []
-        for row in rows[list(costs)].itertuples(index=False):
-            fits = count < most and all(spent[c] + v <= costs[c] for c, v in zip(costs, row, strict=True))
+        for g in group:
+            fits = count < most and all(spent[c] + g[c] <= limit for c, limit in costs.items())
             if fits:
                 count += 1
-                for c, v in zip(costs, row, strict=True):
-                    spent[c] += v
+                for c in costs:
+                    spent[c] += g[c]
             taken.append(fits)
-        return rows.assign(taken=taken, exhausted=not all(taken))[[*columns, "taken", "exhausted"]]
+        return [(*[g[c] for c in ranked], t, not all(taken)) for g, t in zip(group, taken, strict=True)]
 
-    return df.groupBy(*by).applyInPandas(fold, ddl)
+    fields = df.select(*by, *ranked).schema.fields
+    return fold_groups(df.fillna(0.0, list(costs)), by, order, fold, T.StructType([*fields, T.StructField("taken", T.BooleanType()), T.StructField("exhausted", T.BooleanType())]))

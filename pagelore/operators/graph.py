@@ -5,11 +5,12 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pagelore.operators.folds import fold_groups
 from pagelore.session import cut_lineage
 
 
@@ -103,26 +104,22 @@ def stable_order(nodes: DataFrame, edges: DataFrame, by: Sequence[str], key: str
     cycle keeps its ranks (accepted is false). Edges to nodes that are not there
     and self edges are ignored.
     """
-    inner = edges.groupBy(*by).agg(F.collect_set(F.struct(F.col(source).alias("s"), F.col(target).alias("t"))).alias("__edges"))
-    joined = nodes.select(*by, key, rank).join(inner, list(by), "left")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.select(*by, key).schema) + ", position int, accepted boolean"
-
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        names = rows[key].tolist()
-        ranks = {k: (r, k) for k, r in zip(names, rows[rank], strict=True)}
-        links = rows["__edges"].iloc[0]
+    # edges ride along as rows of their group without a node
+    ends = edges.select(*by, F.col(source).alias("__s"), F.col(target).alias("__t")).distinct()
+    rows = nodes.select(*by, F.col(key).alias("__k"), F.col(rank).alias("__r")).unionByName(ends, allowMissingColumns=True)
+    fields = nodes.select(*by, key).schema
+
+    def order(group: list[dict]) -> list[tuple]:
+        ranks = {g["__k"]: (g["__r"], g["__k"]) for g in group if g["__k"] is not None}
         after: dict = {}
-        for e in links if links is not None else ():
-            if e["s"] in ranks and e["t"] in ranks and e["s"] != e["t"]:
-                after.setdefault(e["s"], []).append(e["t"])
-        found = _kahn(names, ranks, after)
-        place = {k: i for i, k in enumerate(found if found is not None else sorted(names, key=ranks.get))}
-        out = rows[[*by, key]].copy()
-        out["position"] = [place[k] for k in names]
-        out["accepted"] = found is not None
-        return out
+        for g in group:
+            if g["__s"] in ranks and g["__t"] in ranks and g["__s"] != g["__t"]:
+                after.setdefault(g["__s"], []).append(g["__t"])
+        found = _kahn(list(ranks), ranks, after)
+        return [(k, i, found is not None) for i, k in enumerate(found if found is not None else sorted(ranks, key=ranks.get))]
 
-    return joined.groupBy(*by).applyInPandas(order, ddl)
+    out = T.StructType([*fields.fields, T.StructField("position", T.IntegerType()), T.StructField("accepted", T.BooleanType())])
+    return fold_groups(rows, by, ["__r", "__k"], order, out)
 
 
 def _islands(spans: list[tuple[float, float, int]], gap: float) -> list[list[int]]:
@@ -154,17 +151,13 @@ def cut_order(boxes: list[tuple[float, float, float, float]], ranks: list, gap:
 
 def xy_cut(df: DataFrame, by: Sequence[str], box: str, rank: str, key: str) -> DataFrame:
     """position of each box of a page by recursive X-Y cuts; rows without a box are left out."""
-    flat = df.where(F.col(f"{box}.width").isNotNull()).select(*by, key, rank, *[F.col(f"{box}.{c}").alias(f"__{c}") for c in ("x", "y", "width", "height")])
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by, key).schema) + ", position int"
+    flat = df.where(F.col(f"{box}.width").isNotNull()).select(*by, F.col(rank).alias("__r"), F.col(key).alias("__k"), *[F.col(f"{box}.{c}").alias(f"__{c}") for c in ("x", "y", "width", "height")])
 
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([rank, key], kind="stable")
-        found = cut_order(list(rows[["__x", "__y", "__width", "__height"]].itertuples(index=False, name=None)), list(range(len(rows))))
-        out = rows[[*by, key]].iloc[found].copy()
-        out["position"] = range(len(out))
-        return out
+    def order(group: list[dict]) -> list[tuple]:
+        found = cut_order([(g["__x"], g["__y"], g["__width"], g["__height"]) for g in group], list(range(len(group))))
+        return [(group[i]["__k"], at) for at, i in enumerate(found)]
 
-    return flat.groupBy(*by).applyInPandas(order, ddl)
+    return fold_groups(flat, by, ["__r", "__k"], order, T.StructType([*df.select(*by, key).schema.fields, T.StructField("position", T.IntegerType())]))
 
 
 def allocate_claims(claims: DataFrame, source: str, owner: str, order: Sequence[str]) -> DataFrame:

@@ -6,11 +6,12 @@ import difflib
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelore.operators.aggregates import weighted_confidence
+from pagelore.operators.folds import fold_groups
 from pagelore.operators.graph import components
 from pagelore.operators.joins import similar_box_pairs
 
@@ -64,7 +65,7 @@ def same_line(a: dict, b: dict) -> bool:
 
 def better(a: dict, b: dict) -> dict:
     """The preferred of two readings of one line."""
-    conf = lambda r: -1.0 if pd.isna(r["confidence"]) else r["confidence"]
+    conf = lambda r: -1.0 if r["confidence"] is None else r["confidence"]
     x, y = _compact(a["text"]), _compact(b["text"])
     if difflib.SequenceMatcher(None, x, y).ratio() >= 0.86 and abs(conf(a) - conf(b)) >= 0.03:
         return a if conf(a) > conf(b) else b
@@ -80,17 +81,14 @@ def merge_passes(lines: DataFrame, by: Sequence[str], rank: str, key: str) -> Da
     """Lines of a dense pass (rank 0) and a sparse pass (rank 1) as one set, with accepted true or false.
 
     Each sparse line, in order, meets the first merged line that it repeats; the
-    better of the two stays. The outcome depends on the order, so each page is one
-    Arrow group.
+    better of the two stays. The outcome depends on the order, hence a fold.
     """
-    need = [*by, key, rank, "text", "x", "y", "width", "height", "confidence"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*by, key).schema) + ", accepted boolean"
+    need = [rank, "y", "x", key, "text", "width", "height", "confidence"]
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        records = rows.sort_values([rank, "y", "x", key], kind="stable").to_dict("records")
+    def merge(group: list[dict]) -> list[tuple]:
         merged: list[dict] = []
         lost: set = set()
-        for r in records:
+        for r in group:
             at = next((i for i, m in enumerate(merged) if same_line(m, r)), None) if r[rank] else None
             if at is None:
                 merged.append(r)
@@ -98,9 +96,10 @@ def merge_passes(lines: DataFrame, by: Sequence[str], rank: str, key: str) -> Da
             winner = better(merged[at], r)
             lost.add((r if winner is merged[at] else merged[at])[key])
             merged[at] = winner
-        return rows[[*by, key]].assign(accepted=[k not in lost for k in rows[key]])
+        return [(g[key], g[key] not in lost) for g in group]
 
-    return lines.select(*need).groupBy(*by).applyInPandas(merge, ddl)
+    out = T.StructType([*lines.select(*by, key).schema.fields, T.StructField("accepted", T.BooleanType())])
+    return fold_groups(lines.select(*by, *need), by, need[:4], merge, out)
 
 
 def occurrences(rows: DataFrame, by: Sequence[str], text: str, box: str, key: str, order: Sequence[Column], threshold: float = 0.80) -> DataFrame:

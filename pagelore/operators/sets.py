@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.operators.folds import fold_groups
+
 
 def first_of_each(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each group in order, by one combined aggregate."""
@@ -35,34 +36,26 @@ def geometry_distinct(df: DataFrame, by: Sequence[str], text: str, order: str, b
     suppress, hence a fold over the rows of each text of a page and no anti join.
     Rows with a null text are left out.
     """
-    names = ["__x", "__y", "__w", "__h"]
-    flat = df.select(*by, F.col(text).alias("__t"), F.col(order).alias("__o"), F.col(key).alias(key), *[F.col(f"{box}.{c}").alias(n) for c, n in zip(("x", "y", "width", "height"), names, strict=True)])
-    out = df.select(*by, key).schema
-
-    def one_text(rows: pd.DataFrame) -> list[bool]:
-        kept: list[tuple] = []
-        keep: list[bool] = []
-        closed = seen = False
-        for x, y, w, h in rows[names].itertuples(index=False):
-            valid = not (pd.isna(x) or pd.isna(y) or pd.isna(w) or pd.isna(h)) and w > 0 and h > 0
-            if closed:
-                stay = False
-            elif valid:
-                stay = not any(max(0.0, min(x + w, a + c) - max(x, a)) * max(0.0, min(y + h, b + d) - max(y, b)) >= threshold * max(w * h, c * d) for a, b, c, d in kept)
-                if stay:
-                    kept.append((x, y, w, h))
+    flat = df.where(F.col(text).isNotNull()).select(*by, F.col(text).alias("__t"), F.col(order).alias("__o"), F.col(key).alias("__k"), *[F.col(f"{box}.{c}").alias(f"__{c}") for c in ("x", "y", "width", "height")])
+
+    def fold(group: list[dict]) -> list[tuple]:
+        kept: dict[str, list[tuple]] = {}
+        closed: set[str] = set()
+        out = []
+        for g in group:
+            t, (x, y, w, h) = g["__t"], (g["__x"], g["__y"], g["__width"], g["__height"])
+            if t in closed:
+                continue
+            if None not in (x, y, w, h) and w > 0 and h > 0:
+                held = kept.setdefault(t, [])
+                if any(max(0.0, min(x + w, a + c) - max(x, a)) * max(0.0, min(y + h, b + d) - max(y, b)) >= threshold * max(w * h, c * d) for a, b, c, d in held):
+                    continue
+                held.append((x, y, w, h))
             else:
-                stay = not seen
-                closed = stay
-            seen = True
-            keep.append(stay)
-        return keep
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["__t", "__o", key], kind="stable")
-        repeated = rows.duplicated("__t", keep=False)
-        parts = [rows[~repeated], *[g[one_text(g)] for _, g in rows[repeated].groupby("__t", sort=False)]]
-        return pd.concat(parts)[out.names]
+                if t in kept:
+                    continue
+                closed.add(t)
+            out.append((g["__k"],))
+        return out
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
-    return flat.where(F.col("__t").isNotNull()).groupBy(*by).applyInPandas(fold, ddl)
+    return fold_groups(flat, by, ["__o", "__k"], fold, df.select(*by, key).schema)

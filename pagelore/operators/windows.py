@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pagelore.operators.folds import fold_groups
+
 
 def contiguous(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """Whether the order values of each group are exactly 0..n-1, each once."""
@@ -57,22 +59,20 @@ def median_clusters(df: DataFrame, by: Sequence[str], value: str, tolerance: flo
     """1-D clusters: sorted values join the open cluster while within `tolerance` of its running median.
 
     The median of an open cluster depends on the order of arrival, which no
-    window can express; each page's values are folded in one Arrow group.
+    window can express, hence a fold.
     """
-    schema = df.select(*by, F.col(value).cast("double").alias(value)).schema
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=[value]).sort_values(value, kind="stable")
+    def fold(group: list[dict]) -> list[tuple]:
         held: list[float] = []
         number, out = -1, []
-        for v in rows[value]:
+        for v in (g["__v"] for g in group):
             k = len(held)
             median = None if not k else held[k // 2] if k % 2 else (held[k // 2 - 1] + held[k // 2]) / 2
             if median is None or v - median > tolerance:
                 number, held = number + 1, []
             held.append(v)  # values come sorted, so the list stays sorted
-            out.append(number)
-        return rows.assign(**{into: pd.Series(out, index=rows.index, dtype="int32")})
+            out.append((v, number))
+        return out
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", `{into}` int"
-    return df.select(*by, F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(fold, ddl)
+    return fold_groups(rows, by, ["__v"], fold, T.StructType([*df.select(*by).schema.fields, T.StructField(value, T.DoubleType()), T.StructField(into, T.IntegerType())]))

@@ -48,11 +48,11 @@ def interval_stab(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Half-open line ranges of one order that overlap: claims on the same stretch conflict."""
-    rows = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_linenumber").alias("start"), F.max(F.col("l_linenumber") + F.col("l_quantity") / 10).alias("end"))
-    a = rows.select(F.col("l_suppkey"), F.col("l_orderkey").alias("order_a"), F.col("start").cast("double").alias("as_"), F.col("end").alias("ae"))
-    b = rows.select(F.col("l_suppkey"), F.col("l_orderkey").alias("order_b"), F.col("start").cast("double").alias("bs"), F.col("end").alias("be"))
-    pairs = J.interval_join(a, b, ["l_suppkey"], ("as_", "ae"), ("bs", "be"), 4.0, closed=False).where("order_a < order_b")
+    """Half-open line ranges that overlap: orders that claim the same stretch of a supplier's part conflict."""
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_orderkey").agg(F.min("l_linenumber").alias("start"), F.max(F.col("l_linenumber") + F.col("l_quantity") / 10).alias("end"))
+    a = rows.select("l_suppkey", "l_partkey", F.col("l_orderkey").alias("order_a"), F.col("start").cast("double").alias("as_"), F.col("end").alias("ae"))
+    b = rows.select("l_suppkey", "l_partkey", F.col("l_orderkey").alias("order_b"), F.col("start").cast("double").alias("bs"), F.col("end").alias("be"))
+    pairs = J.interval_join(a, b, ["l_suppkey", "l_partkey"], ("as_", "ae"), ("bs", "be"), 4.0, closed=False).where("order_a < order_b")
     return pairs.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("conflicts"))
 
 
@@ -162,8 +162,8 @@ ORACLE = {
         WITH {_BOXED} SELECT a.item_key, b.item_key AS heading_key FROM b a JOIN b ON {_PAIR} AND a.type <> 'heading' AND b.type = 'heading' WHERE a.x + a.w / 2 BETWEEN b.x AND b.x + b.w
     """,
     "interval_conflicts": """
-        WITH r AS (SELECT l_suppkey, l_orderkey, CAST(min(l_linenumber) AS DOUBLE) AS s, max(l_linenumber + l_quantity / 10) AS e FROM lineitem GROUP BY ALL)
-        SELECT a.l_suppkey, count(*) AS conflicts FROM r a JOIN r b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey < b.l_orderkey AND a.s < b.e AND b.s < a.e GROUP BY 1
+        WITH r AS (SELECT l_suppkey, l_partkey, l_orderkey, CAST(min(l_linenumber) AS DOUBLE) AS s, max(l_linenumber + l_quantity / 10) AS e FROM lineitem GROUP BY ALL)
+        SELECT a.l_suppkey, count(*) AS conflicts FROM r a JOIN r b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey AND a.s < b.e AND b.s < a.e GROUP BY 1
     """,
     "nearest_tick": f"""
         WITH {_BOXED}, m AS (SELECT a.item_key, b.item_key AS tick_key, abs(a.x - b.x) AS gap FROM b a JOIN b ON {_PAIR} AND a.type IN ('table', 'text') AND b.type = 'heading' WHERE abs(a.x - b.x) <= 60),
