@@ -124,6 +124,18 @@ def test_distribution_and_empty(spark):
     assert A.distribution(df.limit(0), ["g"], "v").count() == 0
 
 
+def test_nearest_ranks_against_sorting(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "a", "a", None, "b"]), rnd.choice([rnd.randint(0, 9), rnd.randint(0, 5000), None])) for _ in range(4000)] + [("c", 7)]
+    shares = {"lo": 0.01, "p50": 0.5, "p95": 0.95, "all": 1.0}
+    got = {r["g"]: r for r in A.nearest_ranks(spark.createDataFrame(rows, "g string, v int"), ["g"], "v", shares, 8).collect()}
+    for g in {r[0] for r in rows}:
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g]["n"] == len(values)
+        for name, share in shares.items():
+            assert got[g][name] == values[max(0, -int(-share * len(values) // 1) - 1)], (g, name)
+
+
 def test_linear_fit_refuses_flat_and_single(spark):
     df = spark.createDataFrame([("a", 0.0, 1.0), ("a", 2.0, 5.0), ("b", 1.0, 1.0), ("c", 0.0, 3.0), ("c", 1.0, 3.0)], "g string, x double, y double")
     assert [tuple(r) for r in A.linear_fit(df, ["g"], "x", "y").collect()] == [("a", 2.0, 1.0, 2, 0.0)]
