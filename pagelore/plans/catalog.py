@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelore.plans import join_queries, measure_queries, nested_queries, scalar_queries, source_queries, stream_queries, structure_queries
+from pagelore.plans import evidence_queries, join_queries, measure_queries, nested_queries, scalar_queries, source_queries, stream_queries, structure_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (nested_queries, scalar_queries, join_queries, measure_queries, structure_queries, source_queries, stream_queries)
+MODULES = (nested_queries, scalar_queries, join_queries, measure_queries, structure_queries, source_queries, stream_queries, evidence_queries)
 
 
 def queries() -> dict[str, Query]:
