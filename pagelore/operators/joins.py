@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _bins(lo: Column, hi: Column, width: float) -> Column:
@@ -35,6 +36,32 @@ def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_spa
     return pairs.where(meet & (F.col("__bin") == first_shared)).drop("__bin")
 
 
+def overlap_counts(rows: DataFrame, on: Sequence[str], span: tuple[str, str], width: float) -> DataFrame:
+    """The number of pairs of rows of equal keys whose half-open intervals overlap, as `pairs`; keys without one are left out.
+
+    No pair is formed: all pairs, less those where one interval ends at or before
+    the other's start. Those come from running counts of ends over the distinct
+    values of a key, first within bins of `width`, then over the bins, so no task
+    sees a whole hot key. Null keys or ends match nothing; an end before its start
+    is an error.
+    """
+    lo, hi = F.col(span[0]).cast("double"), F.col(span[1]).cast("double")
+    wrong = F.raise_error(F.lit("an interval ends before it starts"))
+    known = rows.dropna(subset=[*on, *span]).select(*on, lo.alias("__lo"), F.when(hi < lo, wrong.cast("double")).otherwise(hi).alias("__hi"))
+    one, none, empty = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), (F.col("__lo") == F.col("__hi")).cast("bigint")
+    ends = F.array(F.struct(F.col("__lo").alias("at"), one.alias("starts"), none.alias("ends"), empty.alias("points")), F.struct(F.col("__hi").alias("at"), none.alias("starts"), one.alias("ends"), none.alias("points")))
+    at = known.select(*on, F.explode(ends).alias("__e")).select(*on, "__e.*").groupBy(*on, "at").agg(*[F.sum(c).alias(c) for c in ("starts", "ends", "points")])
+    at = at.withColumn("__bin", F.floor(F.col("at") / width).cast("bigint"))
+    inner = Window.partitionBy(*on, "__bin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # of empty intervals at one place each comes before itself, and each two come before each other
+    counted = at.withColumn("__seen", F.sum("ends").over(inner)).groupBy(*on, "__bin").agg(
+        F.sum("starts").alias("n"), F.sum("ends").alias("ends"), F.sum(F.col("starts") * F.col("__seen") - F.expr("points * (points + 1) div 2")).alias("apart"),
+    )
+    outer = Window.partitionBy(*on).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    whole = counted.withColumn("__before", F.coalesce(F.sum("ends").over(outer), none)).groupBy(*on).agg(F.sum("n").alias("n"), F.sum(F.col("apart") + F.col("n") * F.col("__before")).alias("apart"))
+    return whole.select(*on, (F.expr("n * (n - 1) div 2") - F.col("apart")).alias("pairs")).where("pairs > 0")
+
+
 def stabbing_join(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str, span: tuple[str, str], width: float) -> DataFrame:
     """Points with the intervals that contain them (ends included)."""
     a = points.withColumn("__bin", F.floor(F.col(at) / width).cast("bigint"))
@@ -101,8 +128,6 @@ def as_of_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: st
     One sort per key over the union of both sides: no inequality join. Of right
     rows at one instant the greatest by the `keep` columns counts.
     """
-    from pyspark.sql.window import Window
-
     held = F.struct(*[F.col(c) for c in keep])
     r = right.groupBy(*on, F.col(right_at).alias("__at")).agg(F.max(held).alias("__held"))
     payload = [c for c in left.columns if c not in on]

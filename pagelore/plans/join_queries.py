@@ -56,6 +56,12 @@ def interval_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("conflicts"))
 
 
+def supplier_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """interval_conflicts over the whole supplier, whatever the part: pairs of its orders whose half-open line ranges overlap."""
+    rows = table(spark, d, "lineitem").where("l_orderkey is not null").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_linenumber").alias("start"), F.max(F.col("l_linenumber") + F.col("l_quantity") / 10).alias("end"))
+    return J.overlap_counts(rows, ["l_suppkey"], ("start", "end"), 4.0).withColumnRenamed("pairs", "conflicts")
+
+
 def nearest_tick(spark: SparkSession, d: str) -> DataFrame:
     """Each table item's left edge with its unique nearest heading edge on the page, within 60 points."""
     rows = _boxed(spark, d)
@@ -136,7 +142,7 @@ def caption_verdicts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        box_overlap_pairs, similar_boxes, containment_join, interval_stab, interval_conflicts, nearest_tick, asof_prior_event, asof_prior_block,
+        box_overlap_pairs, similar_boxes, containment_join, interval_stab, interval_conflicts, supplier_conflicts, nearest_tick, asof_prior_event, asof_prior_block,
         page_adjacency, listed_items, failed_page_items, pages_without_items, parity_diff, caption_verdicts,
     )
 }
@@ -165,6 +171,10 @@ ORACLE = {
         WITH r AS (SELECT l_suppkey, l_partkey, l_orderkey, CAST(min(l_linenumber) AS DOUBLE) AS s, max(l_linenumber + l_quantity / 10) AS e FROM lineitem GROUP BY ALL)
         SELECT a.l_suppkey, count(*) AS conflicts FROM r a JOIN r b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey AND a.s < b.e AND b.s < a.e GROUP BY 1
     """,
+    "supplier_conflicts": """
+        WITH r AS (SELECT l_suppkey, l_orderkey, CAST(min(l_linenumber) AS DOUBLE) AS s, max(l_linenumber + l_quantity / 10) AS e FROM lineitem GROUP BY ALL)
+        SELECT a.l_suppkey, count(*) AS conflicts FROM r a JOIN r b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey < b.l_orderkey AND a.s < b.e AND b.s < a.e GROUP BY 1
+    """,
     "nearest_tick": f"""
         WITH {_BOXED}, m AS (SELECT a.item_key, b.item_key AS tick_key, abs(a.x - b.x) AS gap FROM b a JOIN b ON {_PAIR} AND a.type IN ('table', 'text') AND b.type = 'heading' WHERE abs(a.x - b.x) <= 60),
         n AS (SELECT *, rank() OVER (PARTITION BY item_key ORDER BY gap) AS r FROM m)

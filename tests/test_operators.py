@@ -284,3 +284,25 @@ def test_streams(spark, tmp_path):
     assert {(r["kind"], r["n"]) for r in M.run_available(M.windowed(events(), "ts", ["kind"], "value"), "complete").collect()} == {("a", 3), ("b", 1)}
     assert M.run_available(M.once(events(), "ts", ["event_id"])).count() == 3
     assert {(r["label"], r["n"]) for r in M.run_available(M.capped_labels(events(), "kind", "event_id", 1)).collect()} == {("1", 2), (None, 1), ("3", 1)}
+
+
+def test_overlap_counts(spark):
+    rng = random.Random(3)
+    spans = [(k, float(lo := rng.randint(-6, 12)), float(lo + rng.choice([0, 0, 1, 2, 5, 9]))) for k in "ab" for _ in range(60)] + [("c", 1.0, 2.0), ("c", 2.0, 3.0), ("a", None, 3.0), (None, 1.0, 9.0), (None, 1.0, 9.0)]
+    want = {}
+    for i, (k, s, e) in enumerate(spans):
+        for l, t, f in spans[i + 1 :]:
+            if k is not None and k == l and None not in (s, t) and s < f and t < e:
+                want[k] = want.get(k, 0) + 1
+    df = spark.createDataFrame(spans, "k string, s double, e double")
+    for width in (0.5, 4.0, 100.0):
+        assert {r["k"]: r["pairs"] for r in J.overlap_counts(df, ["k"], ("s", "e"), width).collect()} == want
+    with pytest.raises(Exception, match="ends before it starts"):
+        J.overlap_counts(spark.createDataFrame([("a", 2.0, 1.0)], "k string, s double, e double"), ["k"], ("s", "e"), 4.0).collect()
+
+
+def test_supplier_conflicts_span_parts(spark, tmp_path):
+    from pagelore.plans import join_queries
+
+    spark.createDataFrame([(1, 10, 1, 1, 20.0), (1, 11, 2, 2, 20.0), (1, 10, 3, 6, 5.0), (2, 10, 1, 1, 20.0)], "l_suppkey long, l_partkey long, l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in join_queries.supplier_conflicts(spark, str(tmp_path)).collect()] == [(1, 1)]
