@@ -43,7 +43,7 @@ TYPES = ("text", "list")
 
 MIN_FREQUENT = 5  # occurrences of a word that corrects another
 MIN_RATIO = 10  # times that the frequent word occurs more often
-TOP_WORDS = 4096  # most frequent words that are never looked up as misreads (size bound of the broadcast)
+TOP_WORDS = 4096  # most frequent words, of which those with no correction are never looked up (size bound of the broadcast)
 LONGEST_WORD = 40
 
 #: What lies between words of lower-cased text; the plain range comes first as most characters are in it.
@@ -216,7 +216,7 @@ class ScanNoise:
         whole = F.when(F.col("text").rlike(_BROKEN), F.regexp_replace("text", _BREAK, " ")).otherwise(F.col("text"))
         inner = self.cleaned.select("item_key", F.explode(_words(whole)).alias("misread")).where(_is_word(F.col("misread")))
         cut = self.judged.select("item_key", F.explode(F.when(F.col("is_hyphen"), F.array("joined")).otherwise(F.split("compound", "-"))).alias("misread"))
-        top = self.words.where("trusted > 0").orderBy(F.desc("seen"), "word").limit(TOP_WORDS).select(F.col("word").alias("misread"))
+        top = self.words.where("trusted > 0").orderBy(F.desc("seen"), "word").limit(TOP_WORDS).select(F.col("word").alias("misread")).join(self.fixes, "misread", "left_anti")
         unusual = inner.join(F.broadcast(top), "misread", "left_anti").unionByName(cut)
         return unusual.join(self.fixes, "misread").select("item_key", "misread", "correction").distinct()
 

@@ -70,6 +70,14 @@ def test_all_kinds_of_noise(spark):
     assert whole == [(2, "The residual turbine was reviewed by the committee.")]
 
 
+def test_frequent_misreading_with_few_trusted_occurrences(spark):
+    items = [(1, 1, 1, "text", "native", 0, "residual " * 150 + "rcsidual"), *[(10 + k, 2, 1, "text", "ocr", k, "The rcsidual turbine") for k in range(12)]]
+    noise = S.ScanNoise(*tables(spark, items))
+    assert [tuple(r)[:2] for r in noise.fixes.collect()] == [("rcsidual", "residual")]
+    assert {tuple(r) for r in noise.defects().collect()} == {(10 + k, "misread") for k in range(12)}
+    assert {r["repaired"] for r in noise.repaired().collect()} == {"The residual turbine"}
+
+
 def test_empty_tables(spark):
     i, p = tables(spark, [], [])
     n = S.ScanNoise(i, p)
