@@ -266,13 +266,14 @@ def rewrite(text: pd.Series, fixes: pd.Series, joins: pd.Series) -> pd.Series:
     return pd.Series([rewrite_text(*r) for r in zip(text, fixes, joins, strict=True)], dtype=object)
 
 
-def paragraphs(repaired: DataFrame, rounds: int = 8) -> DataFrame:
+def paragraphs(repaired: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Paragraphs that run on over page ends put together: item_key (of the first part), parts, paragraph.
 
     The last scanned item of a page continues in the first of the next page if it
     does not end a sentence and the next does not begin one in capitals or with a
-    bullet. Chains are followed by pointer doubling; 2 ** rounds pages at most
-    belong to one paragraph. Only the two border items of each page take part.
+    bullet. Chains are followed by pointer doubling until no pointer moves;
+    one over more than 2 ** most_rounds pages is an error. Only the two border items
+    of each page take part.
     """
     repaired = cut_lineage(repaired)  # read twice: for the borders and for the parts
     border = repaired.groupBy("parse_id", "page_index").agg(F.min_by(F.struct("item_key", "repaired"), F.struct("reading_order", "item_key")).alias("first"), F.max_by(F.struct("item_key", "repaired"), F.struct("reading_order", "item_key")).alias("last"))
@@ -280,10 +281,12 @@ def paragraphs(repaired: DataFrame, rounds: int = 8) -> DataFrame:
     runs_on = ~F.rtrim(F.col("last.repaired")).rlike(r"[.!?。:;)\]]$") & (F.col("last.repaired") != "") & ~F.col("next.repaired").rlike(r"^\s*(?:[•*–-]|\d+[.)])\s")
     links = border.join(after, ["parse_id", "page_index"]).where(runs_on & (F.col("last.item_key") != F.col("next.item_key"))).select(F.col("next.item_key").alias("item_key"), F.col("last.item_key").alias("root"), F.lit(1).alias("depth"))
     up = cut_lineage(links)
-    for _ in range(rounds):
+    for done in range(most_rounds + 1):
         # each round would otherwise hold the plan of the last twice
         if up.join(up.select(F.col("item_key").alias("root")), "root", "left_semi").isEmpty():
             break
+        if done == most_rounds:
+            raise RuntimeError("the paragraphs did not settle; raise most_rounds")
         parent = up.select(F.col("item_key").alias("root"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
         up = cut_lineage(up.join(parent, "root", "left").select("item_key", F.coalesce("__root", "root").alias("root"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth")))
     parts = repaired.join(up, "item_key", "left").select(F.coalesce("root", "item_key").alias("item_key"), F.coalesce("depth", F.lit(0)).alias("depth"), "parse_id", "repaired")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pagelore.llm import scan_repair as S
@@ -78,6 +79,13 @@ def test_frequent_misreading_with_few_trusted_occurrences(spark):
     assert {r["repaired"] for r in noise.repaired().collect()} == {"The residual turbine"}
 
 
+def test_paragraph_over_300_pages(spark):
+    df = spark.range(300).selectExpr("id as item_key", "1L as parse_id", "cast(id as int) as page_index", "0 as reading_order", "concat('w', id) as repaired")
+    assert [(r["item_key"], r["parts"], r["paragraph"].split(" ")) for r in S.paragraphs(df).collect()] == [(0, 300, [f"w{k}" for k in range(300)])]
+    with pytest.raises(RuntimeError, match="most_rounds"):
+        S.paragraphs(df, 2)
+
+
 def test_empty_tables(spark):
     i, p = tables(spark, [], [])
     n = S.ScanNoise(i, p)
