@@ -88,17 +88,22 @@ def marker(text: Column) -> Column:
 
 
 def column_index(label: Column) -> Column:
-    """1-based index of a spreadsheet column label (A = 1, AA = 27)."""
+    """1-based index of a column label of any length (A = 1, AA = 27); null beyond a bigint."""
     letters = F.filter(F.split(F.upper(label), ""), lambda c: c != "")
-    return F.when(label.rlike("^[A-Za-z]{1,3}$"), F.aggregate(letters, F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64))
+    return F.when(label.rlike("^[A-Za-z]+$"), F.aggregate(letters, F.lit(0).cast("bigint"), lambda a, c: F.try_add(F.try_multiply(a, F.lit(26).cast("bigint")), (F.ascii(c) - 64).cast("bigint"))))
 
 
 def column_label(index: Column) -> Column:
-    """The label of a 1-based column index up to 18278 (ZZZ)."""
-    letter = lambda n: F.char((F.pmod(n, F.lit(26)) + 65).cast("int"))
-    n = index.cast("int")
-    one, two, three = n - 1, F.floor((n - 27) / 26), F.floor((n - 703) / 676)
-    return F.when(n.between(1, 26), letter(one)).when(n.between(27, 702), F.concat(letter(two), letter(one))).when(n.between(703, 18278), F.concat(letter(three), letter(two), letter(one)))
+    """The label of a 1-based column index of any size; null below 1."""
+    start = F.struct(index.cast("bigint").alias("n"), F.lit("").alias("label"))
+
+    def prepend(a: Column, _: Column) -> Column:
+        last = F.pmod(a["n"] - 1, F.lit(26))
+        whole = F.call_function("div", a["n"] - 1, F.lit(26).cast("bigint"))
+        return F.when(a["n"] > 0, F.struct(whole.alias("n"), F.concat(F.char(last + 65), a["label"]).alias("label"))).otherwise(a)
+
+    # a bigint has fourteen letters at most
+    return F.when(index > 0, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, prepend)["label"])
 
 
 def excel_date(serial: Column, base_1904: Column | None = None) -> Column:

@@ -34,6 +34,12 @@ def excel_serial_date(spark: SparkSession, d: str) -> DataFrame:
 
 def column_labels(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("n"), S.column_label(F.col("p_partkey")).alias("label")).where("n between 1 and 18278")
+    return rows.withColumn("back", S.column_index(F.col("label")).cast("int"))
+
+
+def part_labels(spark: SparkSession, d: str) -> DataFrame:
+    """column_labels over every part: labels of any length, null below 1."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("n"), S.column_label(F.col("p_partkey")).alias("label"))
     return rows.withColumn("back", S.column_index(F.col("label")))
 
 
@@ -79,7 +85,7 @@ def safe_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", S.safe_url(url).alias("url"))
 
 
-QUERIES = {f.__name__: f for f in (text_normalise, marker_parse, number_parse, excel_serial_date, column_labels, markdown_escape, stable_ids, script_detect, unsafe_text, box_to_pixels, split_hex_join, safe_urls)}
+QUERIES = {f.__name__: f for f in (text_normalise, marker_parse, number_parse, excel_serial_date, column_labels, part_labels, markdown_escape, stable_ids, script_detect, unsafe_text, box_to_pixels, split_hex_join, safe_urls)}
 
 _CELLS = "(SELECT DISTINCT item_key, row_no, col_no, text FROM cells) c"
 
@@ -119,6 +125,11 @@ ORACLE = {
             CAST(p_partkey AS INTEGER) AS back
         FROM part WHERE p_partkey BETWEEN 1 AND 18278
     """,
+    "part_labels": """
+        WITH RECURSIVE l AS (SELECT p_partkey AS n, p_partkey AS k, '' AS label FROM part
+            UNION ALL SELECT n, (k - 1) // 26, chr((65 + (k - 1) % 26)::INTEGER) || label FROM l WHERE k > 0)
+        SELECT n, CASE WHEN n > 0 THEN label END AS label, CASE WHEN n > 0 THEN n END AS back FROM l WHERE k <= 0
+    """,
     "markdown_escape": rf"""
         SELECT item_key, row_no, col_no, regexp_replace(text, '([\\`*_\[\]<>|])', '\\\1', 'g') AS markdown,
             replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html

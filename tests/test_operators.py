@@ -41,6 +41,13 @@ def test_column_labels_round_trip(spark):
     assert rows.where("back <> id or back is null").count() == 0
 
 
+def test_column_labels_of_any_length(spark):
+    rows = spark.createDataFrame([(18278, "ZZZ"), (18279, "AAAA"), (475254, "ZZZZ"), (2**63 - 1, "CRPXNLSKVLJFHG"), (0, None), (-1, None), (None, None)], "n bigint, want string")
+    got = rows.select("n", "want", S.column_label(F.col("n")).alias("l")).withColumn("back", S.column_index(F.col("l")))
+    assert got.where("not (l <=> want) or not (back <=> if(n > 0, n, null))").count() == 0
+    assert one(spark, S.column_index(F.col("a")), a="Z" * 14) is None
+
+
 @pytest.mark.parametrize(("text", "safe"), [("https://a.b/c", True), ("HTTP://a", True), ("javascript:x", False), ("https://", False), ("//a", False), (None, False)])
 def test_safe_url(spark, text, safe):
     assert (one(spark, S.safe_url(F.col("a")), a=text) is not None) == safe
