@@ -44,22 +44,17 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 40) -> DataF
 def closure_of_disabled(flags: DataFrame, needs: DataFrame, name: str = "flag", needed: str = "needs", enabled: str = "enabled") -> DataFrame:
     """flag and effective: a flag is off if it is disabled or needs, however indirectly, one that is off.
 
-    A missing needed flag counts as off. Runs as one recursive query.
+    A missing needed flag counts as off. Each round adds the flags that need one
+    found in the last, until there are none; rounds are written to the checkpoint
+    folder.
     """
-    spark = flags.sparkSession
     f = flags.select(F.col(name).alias("flag"), F.coalesce(F.col(enabled), F.lit(False)).alias("enabled"))
     n = needs.select(F.col(name).alias("flag"), F.col(needed).alias("needs"))
     missing = n.join(f.select(F.col("flag").alias("needs")), "needs", "left_anti").select("flag")
-    f.createOrReplaceTempView("__flags")
-    n.createOrReplaceTempView("__needs")
-    missing.createOrReplaceTempView("__missing")
-    off = spark.sql("""
-        WITH RECURSIVE off (flag, depth) AS (
-            SELECT flag, 0 FROM (SELECT flag FROM __flags WHERE NOT enabled UNION SELECT flag FROM __missing)
-            UNION ALL
-            SELECT n.flag, o.depth + 1 FROM off o JOIN __needs n ON n.needs = o.flag WHERE o.depth < 32
-        ) SELECT DISTINCT flag FROM off
-    """)
+    off = new = cut_lineage(f.where("not enabled").select("flag").unionByName(missing).distinct())
+    while not new.isEmpty():
+        new = cut_lineage(n.join(new.select(F.col("flag").alias("needs")), "needs").select("flag").distinct().join(off, "flag", "left_anti"))
+        off = cut_lineage(off.unionByName(new))
     return f.join(off.withColumn("off", F.lit(True)), "flag", "left").select(F.col("flag").alias(name), F.col("off").isNull().alias("effective"))
 
 

@@ -193,6 +193,12 @@ def test_closure_through_missing_flag(spark):
     assert {tuple(r) for r in R.closure_of_disabled(flags, needs).collect()} == {("a", False), ("b", False), ("c", False), ("d", False)}
 
 
+def test_closure_through_forty_hops_and_a_cycle(spark):
+    flags = spark.createDataFrame([(k, k != 0) for k in range(44)], "flag int, enabled boolean")
+    needs = spark.createDataFrame([(k, k - 1) for k in range(1, 41)] + [(1, 40), (42, 43), (43, 42)], "flag int, needs int")
+    assert {r["flag"] for r in R.closure_of_disabled(flags, needs).where("effective").collect()} == {41, 42, 43}
+
+
 def test_stable_order_and_cycle(spark):
     nodes = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (1, "c", 2), (2, "x", 0), (2, "y", 1)], "p int, k string, r int")
     edges = spark.createDataFrame([(1, "c", "a"), (2, "x", "y"), (2, "y", "x")], "p int, s string, t string")
