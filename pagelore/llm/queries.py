@@ -83,9 +83,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select("doc_id", "source", "text")
-    model = toxicity.fit_from_labels(documents, table(spark, d, "labels"))
-    return toxicity.score_documents(documents, model)
+    return toxicity.score_corpus(table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "labels"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
