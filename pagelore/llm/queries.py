@@ -50,8 +50,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.equal_looking_pairs(table(spark, d, "items").select("item_key", "parse_id", "value"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes behind p3_found, without pairs: each item with the number of spellings and items of its class."""
+    rows = lookalike.spelling_classes(table(spark, d, "items").select("item_key", "parse_id", "value"))
+    sizes = rows.groupBy("parse_id", "form").agg(F.count_distinct("exact").alias("spellings"), F.count_distinct("item_key").alias("items"))
+    return rows.join(sizes, ["parse_id", "form"]).select("parse_id", F.lower(F.hex("form")).alias("form"), "item_key", "spellings", "items")
+
+
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.unify(table(spark, d, "items").select("item_key", "value")).select("item_key", "unified").distinct()
+    once = table(spark, d, "items").groupBy("item_key").agg(F.max("value").alias("value"))
+    return lookalike.unify(once).select("item_key", "unified")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +107,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_repaired, p1_paragraphs, p1_corrections, p2_found, p2_restored, p2_by_source, p3_found, p3_unified, p4_found, p4_pieces, p6_ids, p7_placed, p7_fill, p8_found, p8_scores, p8_rates)
+    found = (p1_found, p1_repaired, p1_paragraphs, p1_corrections, p2_found, p2_restored, p2_by_source, p3_found, p3_classes, p3_unified, p4_found, p4_pieces, p6_ids, p7_placed, p7_fill, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in found}
 
 

@@ -62,9 +62,10 @@ LEVEL = 1e-5  # expected chance passages in a document
 
 #: Digits and symbols that stand for letters inside words.
 LEET = str.maketrans("01345789@$!|+", "oieastbgasiit")
-_SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?![^\W_])")
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W_][^\W_]*(?:[*@$!|][*@$!|]*[^\W_]+)*|[@$][^\W_]+|[.!?。\n]+")
+#: A token: letters spelt out one by one, Japanese, a word (symbols may stand inside), or the end of a sentence.
+_TOKEN = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?![^\W_])|[぀-ヿ㐀-鿿]+|[^\W_]+(?:[*@$!|]+[^\W_]+)*|[@$][^\W_]+|[.!?。\n]+")
 _BETWEEN = re.compile(r"[ .\-_*]")
+_SPELT = re.compile(r"[^\W\d_](?:[ .\-_*][^\W\d_]){2,}")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _REPEAT = re.compile(r"([^\W\d_])\1+")
 _DIGITS = re.compile(r"\d")
@@ -91,13 +92,14 @@ class Tokens:
 
     def raw(self, text: str) -> list[str]:
         """Tokens as they stand in the text's visual form, without case."""
-        text = self.form(text).casefold()
-        return _TOKEN.findall(_SPELT.sub(_together, text))
+        return _TOKEN.findall(self.form(text).casefold())
 
     def plain(self, raw: str) -> list[str]:
         """What a raw token counts as; "." stands for the end of a sentence or line."""
         if raw[0] in ".!?。\n":
             return ["."]
+        if _SPELT.fullmatch(raw):
+            raw = _BETWEEN.sub("", raw)
         if _WIDE.match(raw):
             return [raw[i : i + 2] for i in range(max(1, len(raw) - 1))]
         return [_plain(raw)]
@@ -115,10 +117,6 @@ class Tokens:
         return out
 
 
-def _together(m: re.Match[str]) -> str:
-    return _BETWEEN.sub("", m.group())
-
-
 class Vocabulary:
     """Numbers of words (0 ends a sentence, the last is any other word) and of the pairs that matter."""
 
@@ -137,6 +135,10 @@ class Vocabulary:
         """Words, the other word, pairs."""
         return self.other + 1 + len(self.pairs)
 
+    def codes(self, tokens: Sequence[str]) -> str:
+        """Tokens as one character each."""
+        return "".join(_code(self.index.get(t, self.other)) for t in tokens)
+
     def pair_ids(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, feature numbers) of the known pairs that end there; `starts` are first tokens of documents."""
         asked = self.first[ids[:-1]] & self.second[ids[1:]]
@@ -308,11 +310,11 @@ def _peak(f, lo: float, hi: float, steps: int = 36) -> float:
 class _Sample:
     """The labelled documents as flat arrays, and the fit on any of them."""
 
-    def __init__(self, vocabulary: Vocabulary, docs: list[np.ndarray], rated: Sequence[bool], df: np.ndarray, n_docs: float) -> None:
+    def __init__(self, vocabulary: Vocabulary, docs: list[str], rated: Sequence[bool], df: np.ndarray, n_docs: float) -> None:
         self.vocabulary, self.rated = vocabulary, np.array(rated, dtype=bool)
         self.lengths = np.array([len(d) for d in docs], dtype=np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.ids = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int64)
+        self.ids = _numbers("".join(docs))
         self.doc = np.repeat(np.arange(len(docs)), self.lengths)
         self.at, self.pair = vocabulary.pair_ids(self.ids, self.bounds[:-1]) if len(self.ids) else (self.ids, self.ids)
         self.df, self.n_docs = np.maximum(df, 1.0), max(1.0, n_docs)
@@ -386,8 +388,8 @@ class _Sample:
         return [v for _, _, v in self._best(s, docs)]
 
 
-def fit_encoded(vocabulary: Vocabulary, docs: list[np.ndarray], rated: Sequence[int], df: np.ndarray, n_docs: float) -> Model:
-    """A model from numbered labelled documents, and the corpus' document counts of each feature.
+def fit_encoded(vocabulary: Vocabulary, docs: list[str], rated: Sequence[int], df: np.ndarray, n_docs: float) -> Model:
+    """A model from labelled documents, given as codes, and the corpus' document counts of each feature.
 
     The null law comes from FOLDS fits, each scoring the clean documents that it
     left out; the weights are then fitted on all.
@@ -417,17 +419,17 @@ def vocabulary_of(docs: list[list[str]], rated: Sequence[int]) -> Vocabulary:
     return Vocabulary(words, sorted(pairs))
 
 
-def document_counts(vocabulary: Vocabulary, docs: list[np.ndarray]) -> np.ndarray:
-    """Of each feature, in how many documents it occurs."""
+def document_counts(vocabulary: Vocabulary, docs: list[str]) -> np.ndarray:
+    """Of each feature, in how many of the documents, given as codes, it occurs."""
     n = vocabulary.features
-    lengths = np.array([len(d) for d in docs], dtype=np.int64)
-    ids = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int64)
+    ids = _numbers("".join(docs))
     if not len(ids):
         return np.zeros(n)
+    lengths = np.array([len(d) for d in docs], dtype=np.int64)
     doc = np.repeat(np.arange(len(docs)), lengths)
     at, pair = vocabulary.pair_ids(ids, np.cumsum(lengths) - lengths)
-    found = np.unique(np.concatenate([doc * n + ids, doc[at] * n + pair]))
-    return np.bincount(found % n, minlength=n).astype(np.float64)
+    two = np.unique(doc[at] * n + pair) % n
+    return np.bincount(np.concatenate([_numbers("".join(["".join(set(d)) for d in docs])), two]), minlength=n).astype(np.float64)
 
 
 def fit(texts: list[str], offensive: list[int]) -> Model:
@@ -435,8 +437,8 @@ def fit(texts: list[str], offensive: list[int]) -> Model:
     tokenize = Tokens()
     docs = [tokenize(t) for t in texts]
     vocabulary = vocabulary_of(docs, offensive)
-    numbered = [np.array([vocabulary.index.get(w, vocabulary.other) for w in d], dtype=np.int64) for d in docs]
-    return fit_encoded(vocabulary, numbered, offensive, document_counts(vocabulary, numbered), len(docs))
+    codes = [vocabulary.codes(d) for d in docs]
+    return fit_encoded(vocabulary, codes, offensive, document_counts(vocabulary, codes), len(docs))
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[list[list[str]], list[int]]:
@@ -475,7 +477,7 @@ def encode_documents(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         for b in slices(batches, 1024):
             codes = [encode(t) for t in b.column("text").to_pylist()]
-            counts += document_counts(vocabulary, [_numbers(c) for c in codes]).astype(np.int64)
+            counts += document_counts(vocabulary, codes).astype(np.int64)
             none = [pa.nulls(b.num_rows, k) for k in kinds[3:]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(codes, pa.string()), *none], names)
         held = np.flatnonzero(counts)
@@ -504,9 +506,9 @@ def fit_corpus(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     words, rated = labelled_sample(documents, labels, max_labelled)
     vocabulary = vocabulary_of(words, rated)
     encoded = cut_lineage(encode_documents(documents, vocabulary))
-    numbered = [np.array([vocabulary.index.get(w, vocabulary.other) for w in d], dtype=np.int64) for d in words]
+    codes = [vocabulary.codes(d) for d in words]
     del words
-    return fit_encoded(vocabulary, numbered, rated, corpus_counts(encoded, vocabulary), encoded.where("feature is null").count()), encoded
+    return fit_encoded(vocabulary, codes, rated, corpus_counts(encoded, vocabulary), encoded.where("feature is null").count()), encoded
 
 
 def score_documents(documents: DataFrame, model: Model, level: float = LEVEL) -> DataFrame:

@@ -33,6 +33,25 @@ def test_one_pass_is_final(text):
     assert T(unicodedata.normalize("NFD", text)) == T(unicodedata.normalize("NFC", text)) or any(unicodedata.combining(c) for c in text)
 
 
+def test_the_tables_alone_give_the_form(monkeypatch):
+    cases = [("e\u0323\u0302", "ệ"), ("e\u0302\u0323", "ệ"), ("е\u0301", "é"), ("А\u030a", "Å"), ("e\u200b\u0302\u200d\u0323", "ệ"), ("ﾊﾟ", "パ"), ("\u1112\u1161\u11ab", "한"), ("하\u11ab", "한"), ("q\u0323\u0307", "q\u0323\u0307"), ("q\u0307\u0323", "q\u0323\u0307"), ("ﬁ\u0301", "fí"), ("a\u0316\u0301", "á\u0316")]
+    fresh = L.Transducer()
+
+    def no(*_):
+        raise AssertionError("the library's normalisation is not for run time")
+
+    with monkeypatch.context() as m:
+        m.setattr(unicodedata, "normalize", no)
+        m.setattr(unicodedata, "combining", no)
+        got = [fresh(a) for a, _ in cases]
+    assert got == [b for _, b in cases]
+
+
+@given(st.text(alphabet=st.characters(min_codepoint=0xC0, max_codepoint=0x17F) | st.sampled_from("aeoq\u0301\u0302\u0323\u0307\u0327\u031b"), max_size=12))
+def test_composition_against_the_standard(text):
+    assert T(text) == unicodedata.normalize("NFC", "".join(T(c) if c == "ı" else c for c in text))
+
+
 def test_no_conflicts_in_the_mapping():
     m = L.compile_mapping()
     assert len(m) > 200 and all("".join(m.get(c, c) for c in v) == v for v in m.values())
@@ -47,5 +66,7 @@ def test_pairs_against_brute_force(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] and b[2] and a[2] != b[2] and T(a[2]) == T(b[2])}
     got = L.equal_looking_pairs(df).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+    classes = L.spelling_classes(df).collect()
+    assert {r["item_key"] for r in classes} == {k for p in want for k in p} and len(classes) == len({r["item_key"] for r in classes})
     assert L.equal_looking_pairs(df.limit(0)).count() == 0
     assert L.unify(df, "value", "unified").where("value is null and unified is not null").count() == 0
