@@ -58,7 +58,7 @@ ROUNDS = 4
 FOLDS = 5
 DRIFT = 0.99  # share of the clean documents' tokens that the drift brings to zero or below: the others give ordinary text a spread of best scores
 TAIL = (0.75, 0.98)  # quantiles of the null maxima between which the law is fitted; above may be raters' errors
-LEVEL = 1e-5  # expected chance passages in a document
+LEVEL = 1e-4  # expected chance passages in a document
 
 #: Digits and symbols that stand for letters inside words.
 LEET = str.maketrans("01345789@$!|+", "oieastbgasiit")
@@ -122,9 +122,11 @@ class Vocabulary:
 
     def __init__(self, words: Sequence[str], pairs: Sequence[tuple[str, str]] = ()) -> None:
         self.words = [".", *words]
-        self.index = {w: i for i, w in enumerate(self.words)}
+        index = {w: i for i, w in enumerate(self.words)}
         self.other = len(self.words)
-        keys = sorted(self.index[a] * (self.other + 1) + self.index[b] for a, b in pairs)
+        self.signs = {w: _code(i) for i, w in enumerate(self.words)}
+        self.unknown = _code(self.other)
+        keys = sorted(index[a] * (self.other + 1) + index[b] for a, b in pairs)
         self.pairs = np.array(keys, dtype=np.int64)
         self.first, self.second = (np.zeros(self.other + 1, dtype=bool) for _ in range(2))
         self.first[self.pairs // (self.other + 1)] = True
@@ -137,14 +139,14 @@ class Vocabulary:
 
     def codes(self, tokens: Sequence[str]) -> str:
         """Tokens as one character each."""
-        return "".join(_code(self.index.get(t, self.other)) for t in tokens)
+        return "".join([self.signs.get(t, self.unknown) for t in tokens])
 
     def pair_ids(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, feature numbers) of the known pairs that end there; `starts` are first tokens of documents."""
         asked = self.first[ids[:-1]] & self.second[ids[1:]]
         asked[starts[(starts > 0) & (starts < len(ids))] - 1] = False
         at = np.flatnonzero(asked) + 1
-        keys = ids[at - 1] * (self.other + 1) + ids[at]
+        keys = ids[at - 1].astype(np.int64) * (self.other + 1) + ids[at]
         found = np.searchsorted(self.pairs, keys)
         good = found < len(self.pairs)
         good[good] = self.pairs[found[good]] == keys[good]
@@ -158,8 +160,11 @@ def _code(i: int) -> str:
 
 
 def _numbers(codes: str) -> np.ndarray:
-    at = np.frombuffer(codes.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    return np.where(at < 0xE000, at, at - 0x800) - 0x20
+    at = np.frombuffer(codes.encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
+    if len(at) and at.max() >= 0xE000:
+        at[at >= 0xE000] -= 0x800
+    at -= 0x20
+    return at
 
 
 class Encoder:
@@ -167,8 +172,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.tokens = Tokens()
-        self.known = {w: _code(i) for w, i in vocabulary.index.items()}
-        self.other = _code(vocabulary.other)
+        self.vocabulary = vocabulary
         self.memo: dict[str, str] = {}
 
     def __call__(self, text: str | None) -> str:
@@ -178,7 +182,7 @@ class Encoder:
         for raw in self.tokens.raw(text):
             c = memo.get(raw)
             if c is None:
-                c = "".join(self.known.get(t, self.other) for t in self.tokens.plain(raw))
+                c = self.vocabulary.codes(self.tokens.plain(raw))
                 if len(memo) < 500_000:
                     memo[raw] = c
             out.append(c)
@@ -373,7 +377,8 @@ class _Sample:
             w = self._weights(inside)
             s = self._raw(w)
             level, drift = (float(s[clean].mean()), float(np.quantile(s[clean], DRIFT))) if clean.any() else (0.0, 1.0)
-            w[self.vocabulary.other] = level  # what no rated document holds is ordinary
+            words = w[: self.vocabulary.other + 1]
+            words[words == 0.0] = min(level, 0.0)  # what the labels say nothing about is ordinary
             if k < ROUNDS - 1:
                 s = self._raw(w) - drift
                 s[self.ids == 0] = 0.0
@@ -425,10 +430,9 @@ def document_counts(vocabulary: Vocabulary, docs: list[str]) -> np.ndarray:
     ids = _numbers("".join(docs))
     if not len(ids):
         return np.zeros(n)
-    lengths = np.array([len(d) for d in docs], dtype=np.int64)
-    doc = np.repeat(np.arange(len(docs)), lengths)
-    at, pair = vocabulary.pair_ids(ids, np.cumsum(lengths) - lengths)
-    two = np.unique(doc[at] * n + pair) % n
+    ends = np.cumsum([len(d) for d in docs])
+    at, pair = vocabulary.pair_ids(ids, np.concatenate([[0], ends[:-1]]))
+    two = np.unique(np.searchsorted(ends, at, side="right") * n + pair) % n
     return np.bincount(np.concatenate([_numbers("".join(["".join(set(d)) for d in docs])), two]), minlength=n).astype(np.float64)
 
 
