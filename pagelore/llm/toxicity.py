@@ -58,7 +58,7 @@ ROUNDS = 4
 FOLDS = 5
 DRIFT = 0.99  # share of the clean documents' tokens that the drift brings to zero or below: the others give ordinary text a spread of best scores
 TAIL = (0.75, 0.98)  # quantiles of the null maxima between which the law is fitted; above may be raters' errors
-LEVEL = 1e-4  # expected chance passages in a document
+LEVEL = 1e-5  # expected chance passages in a document
 
 #: Digits and symbols that stand for letters inside words.
 LEET = str.maketrans("01345789@$!|+", "oieastbgasiit")
@@ -331,16 +331,21 @@ class _Sample:
         two = np.unique(self.doc[self.at[whole]] * n + self.pair[whole])
         return np.bincount(np.concatenate([one, two]) % n, minlength=n).astype(np.float64)
 
-    def _weights(self, inside: np.ndarray) -> np.ndarray:
+    def _weights(self, inside: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        """Odds moved by their uncertainty: those of pairs to zero, those of words to what
+        an ordinary word has, so a word that the labels say nothing about is ordinary."""
         held = self._present(inside)
         n_bad = max(1, len(np.unique(self.doc[inside])))
         share = self.df / self.n_docs
         bad = held + PRIOR_MASS * share
         odds = np.log(bad / (n_bad + PRIOR_MASS)) - np.log(np.minimum(share, 1.0))
         slack = SHRINK * np.sqrt(1 / bad + 1 / self.df)
-        w = np.sign(odds) * np.maximum(0.0, np.abs(odds) - slack)
+        last = self.vocabulary.other
+        centre = np.zeros(len(odds))
+        centre[: last + 1] = min(0.0, float(odds[self.ids[clean]].mean())) if clean.any() else 0.0
+        w = centre + np.sign(odds - centre) * np.maximum(0.0, np.abs(odds - centre) - slack)
         w = np.maximum(w, LOWEST)
-        w[0] = w[self.vocabulary.other] = 0.0
+        w[0], w[last] = 0.0, centre[last]
         return w
 
     def _raw(self, w: np.ndarray) -> np.ndarray:
@@ -374,13 +379,11 @@ class _Sample:
         bad = np.flatnonzero(use & self.rated & (self.lengths > 0))
         inside = used & self.rated[self.doc]
         for k in range(ROUNDS):
-            w = self._weights(inside)
+            w = self._weights(inside, clean)
             s = self._raw(w)
-            level, drift = (float(s[clean].mean()), float(np.quantile(s[clean], DRIFT))) if clean.any() else (0.0, 1.0)
-            words = w[: self.vocabulary.other + 1]
-            words[words == 0.0] = min(level, 0.0)  # what the labels say nothing about is ordinary
+            drift = float(np.quantile(s[clean], DRIFT)) if clean.any() else 1.0
             if k < ROUNDS - 1:
-                s = self._raw(w) - drift
+                s -= drift
                 s[self.ids == 0] = 0.0
                 inside = np.zeros(len(self.ids), dtype=bool)
                 for a, z in self._evidence(s, bad):

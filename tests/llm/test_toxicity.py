@@ -117,7 +117,7 @@ def test_held_out_clean_documents_meet_the_law():
         bad = rnd.random() < 0.15
         if bad:
             at = rnd.randrange(len(t))
-            t[at:at] = rnd.choices(rude, k=6)
+            t[at:at] = [w for r in rnd.choices(rude, k=6) for w in (r, *rnd.choices(words, k=1))]  # insults are made of ordinary words, too
         texts.append(" ".join(t))
         rated.append(int(bad))
     model = X.fit(texts, rated)
