@@ -14,7 +14,7 @@ ENC = C.encoder(C.tokenizer_path())
 @given(st.text(alphabet=st.sampled_from("ab 1.'s\n\t é漢。\x1c\r"), max_size=300), st.lists(st.integers(1, 299), max_size=12))
 def test_any_cuts_give_the_ids_of_the_whole(text, places):
     cuts = sorted({p for p in places if p < len(text)})
-    parts = [(text[a:z], *C._encoded(ENC, text[a:z])) for a, z in zip([0, *cuts], [*cuts, len(text)]) if text[a:z]]
+    parts = [C._opened(C._sealed(ENC, text[a:z])) for a, z in zip([0, *cuts], [*cuts, len(text)]) if text[a:z]]
     assert C.join_ids(ENC, parts) == ENC.encode_ordinary(text)
 
 
@@ -39,6 +39,36 @@ def test_encoding_of_a_corpus(spark):
     assert C.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_shared_and_hot_chunks(spark, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghijklmno", k=rnd.randint(2, 9)))
+    notice = " ".join(word() for _ in range(300))  # in most texts: a hot chunk
+    texts = [f"{' '.join(word() for _ in range(rnd.randint(0, 200)))} {notice if k % 3 else ''}\n{' '.join(word() for _ in range(60))}" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id bigint, text string")
+    want = {k: ENC.encode_ordinary(t) for k, t in enumerate(texts * 2)}
+    for hot in (C.HOT, 10_000_000):  # with and without salted digests
+        monkeypatch.setattr(C, "HOT", hot)
+        monkeypatch.setattr(C, "SALTS", 5)
+        assert {r["doc_id"]: r["ids"] for r in C.encode_corpus(df).collect()} == want
+
+
+def test_filter_holds_every_shared_digest(spark):
+    rnd = random.Random(6)
+    digests = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    known = C.Shared(C.shared_digests(spark.createDataFrame([(d,) for d in digests[:1500]], "digest bigint")))
+    assert known.holds(digests[:1500]).all() and known.holds(digests[1500:]).mean() < 0.01
+
+
+def test_cutting_many_texts_at_once_cuts_each_alone():
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choices("abc de fg.\n漢é", k=rnd.randint(0, 3000))) for _ in range(20)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = [e for b in C._cut([batch]) for e in b.column("ends").to_pylist()]
+    assert got == [C.chunk_bounds(t) for t in texts]
+
+
 def test_sum_of_squares_places_where_the_sum_becomes_least():
     def brute(sizes, capacity):
         gaps, out, total = [], [], lambda g: sum(v * v for v in __import__("collections").Counter(x for x in g if x).values())
