@@ -8,14 +8,19 @@ a word is the sum of the fifth powers of its code points, so replacing "m" by
 "rn" changes it by a constant whatever the word is. Each known confusion is one
 difference; a rare word whose hash plus a difference meets a frequent word's
 hash is a candidate, which the actual substitution then proves. Candidates are
-ranked by frequency. Hyphens are judged by how often the joined and the
+ranked by frequency. Confusions of ordinary vowels, and of u and n, lead from many
+a rare word to a frequent one: those are believed only of words that trusted text
+never holds, and only where a neighbour stands beside the frequent word in
+trusted text. Hyphens are judged by how often the joined and the
 hyphenated spelling occur. Edge lines go by the page's label and by the parse's
 header and footer items, compared in a form in which confusable characters are
 equal.
 
 Defined results: null and empty values have no defects and stay as they are;
 a page without a label falls back to its page number; ties between corrections
-go to the alphabetically first; an empty table gives an empty result; very long
+go to the alphabetically last; words of one or two letters and words without a
+character of the table of confusions (Japanese, Arabic) are never misreadings;
+repeated deliveries of an item count once; an empty table gives an empty result; very long
 values are processed whole.
 """
 
@@ -27,8 +32,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from pagelore.session import cut_lineage
+from pagelore.session import cut_lineage, written
 
 #: Fixed values: (as printed, as misread) character confusions of text recognition.
 CONFUSIONS = (
@@ -38,13 +44,16 @@ CONFUSIONS = (
     ("l", "|"), ("w", "vv"), ("vv", "w"), ("b", "8"), ("a", "@"), ("in", "m"), ("m", "in"), ("z", "2"),
     ("q", "9"), ("s", "$"), ("nn", "m"),
 )
+#: Confusions that need a neighbour's support.
+WEAK_CONFUSIONS = (("a", "o"), ("o", "a"), ("u", "n"), ("n", "u"))
 SOURCES = ("ocr", "mixed")
 TYPES = ("text", "list")
 
 MIN_FREQUENT = 5  # occurrences of a word that corrects another
 MIN_RATIO = 10  # times that the frequent word occurs more often
-TOP_WORDS = 4096  # most frequent words, of which those with no correction are never looked up (size bound of the broadcast)
-LONGEST_WORD = 40
+BROADCAST_ROWS = 100_000  # corrections are broadcast up to so many, of at most BROADCAST_CHARS letters, else joined by shuffle
+BROADCAST_CHARS = 40
+HASH_MODULUS = (1 << 61) - 1
 
 #: What lies between words of lower-cased text; the plain range comes first as most characters are in it.
 _TOKEN_GAP = r"[^a-z\p{L}0-9@|$\p{M}]+"
@@ -57,8 +66,8 @@ _LABEL_LINE = r"^(?:(?:page|p\.|pag\.|pág\.|seite|s\.|стр\.)\s*)?[\[(\-–
 
 
 def anagram_hash(word: Column) -> Column:
-    """Sum of the fifth powers of the code points, as a bigint; null outside U+0001..U+05FF."""
-    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda a, c: a + F.ascii(c).cast("bigint") * F.ascii(c) * F.ascii(c) * F.ascii(c) * F.ascii(c))
+    """Sum of the fifth powers of the code points modulo a prime, as a bigint; words of any length stay in range."""
+    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda a, c: F.pmod(a + F.ascii(c).cast("bigint") * F.ascii(c) * F.ascii(c) * F.ascii(c) * F.ascii(c), F.lit(HASH_MODULUS)))
 
 
 def _hash(text: str) -> int:
@@ -85,11 +94,15 @@ def _is_word(word: Column) -> Column:
     The tests are cheap ones, as every token of the corpus passes here; string
     comparison keeps scripts from U+0600 on out of the lexicon.
     """
-    return F.length(word).between(3, LONGEST_WORD) & (word < "\u0600") & ~word.rlike("[0-9]{2}")
+    return (F.length(word) >= 3) & (word < "\u0600") & ~word.rlike("[0-9]{2}")
+
+
+def _scanned() -> Column:
+    return F.coalesce(F.col("source").isin(*SOURCES), F.lit(False))
 
 
 def _targets(items: DataFrame) -> DataFrame:
-    return items.where(F.col("source").isin(*SOURCES) & F.col("type").isin(*TYPES) & F.col("value").isNotNull()).select("item_key", "parse_id", "page_index", "reading_order", "value")
+    return items.where(_scanned() & F.col("type").isin(*TYPES) & F.col("value").isNotNull()).select("item_key", "parse_id", "page_index", "reading_order", "value")
 
 
 def edge_lines(items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -98,14 +111,17 @@ def edge_lines(items: DataFrame, pages: DataFrame) -> DataFrame:
     Columns: item_key, line_no, is_label, is_running, is_misread.
     """
     labels = pages.groupBy("parse_id", "page_index").agg(F.lower(F.trim(F.max(F.coalesce("page_label", "page_number")))).alias("label"))
-    texts = items.where(F.col("type").isin("header", "footer") & F.col("value").rlike(r"(?:\p{L}[^\p{L}]*){5}")).select("parse_id", F.lower(F.trim("value")).alias("exact"), confusable_form(F.col("value")).alias("form"))
-    spellings = texts.groupBy("parse_id", "form", "exact").agg(F.count(F.lit(1)).alias("n"))
-    running = spellings.groupBy("parse_id", "form").agg(F.lit(True).alias("own"))
+    texts = items.where(F.col("type").isin("header", "footer") & F.col("value").rlike(r"\p{L}")).select("parse_id", "page_index", F.lower(F.trim("value")).alias("exact"), confusable_form(F.col("value")).alias("form"))
+    texts = texts.withColumn("short", ~F.col("exact").rlike(r"(?:\p{L}[^\p{L}]*){5}"))
+    spellings = cut_lineage(texts.groupBy("parse_id", "form", "exact", "short", "page_index").agg(F.count(F.lit(1)).alias("n")))
+    # a text of few letters is a running one only where two pages of the parse show it
+    running = spellings.groupBy("parse_id", "form").agg(F.bool_or(~F.col("short")).alias("__long"), F.count_distinct("page_index").alias("__pages")).where("__long or __pages > 1").select("parse_id", "form", F.lit(True).alias("own"))
     # the usual spelling of each text over all parses; a parse may show its text only inside values
-    anywhere = spellings.groupBy("form", "exact").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parses")).groupBy("form").agg(F.max_by("exact", F.struct("n", "exact")).alias("usual"), F.sum("parses").alias("parses"))
+    anywhere = spellings.groupBy("form", "exact").agg(F.sum("n").alias("n"), F.count_distinct(F.when(~F.col("short"), F.col("parse_id"))).alias("parses")).groupBy("form").agg(F.max_by("exact", F.struct("n", "exact")).alias("usual"), F.sum("parses").alias("parses"))
+    # lines much longer than any label and running text are wrapped text; a confusion at most doubles a letter
+    longest = 2 * (spellings.agg(F.max(F.length("exact"))).first()[0] or 0) + 2 * (labels.agg(F.max(F.length("label"))).first()[0] or 0) + 40
     lines = _targets(items).select("item_key", "parse_id", "page_index", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    # neither a label nor a running text is long; wrapped text is
-    short = lines.where(F.length("line") <= 120).withColumn("line", F.lower(F.trim("line"))).where("line <> ''").join(labels, ["parse_id", "page_index"], "left")
+    short = lines.withColumn("line", F.lower(F.trim("line"))).where((F.col("line") != "") & (F.length("line") <= longest)).join(labels, ["parse_id", "page_index"], "left")
     label, line = F.col("label"), F.col("line")
     head, tail = F.expr("substring(line, 1, length(line) - length(label))"), F.expr("substring(line, length(label) + 1)")
     gap_before, gap_after = head.rlike(r"(?:\s\s|\|\s*)$"), tail.rlike(r"^(?:\s\s|\s*\|)")
@@ -114,7 +130,7 @@ def edge_lines(items: DataFrame, pages: DataFrame) -> DataFrame:
         .when(F.startswith(line, label) & gap_after, F.regexp_replace(tail, r"^[\s|]+", ""))
         .otherwise(F.lit(None))
     )
-    alone = F.coalesce(F.contains(line, label) & (F.length(line) <= F.length(label) + 16) & (label != "") & (F.regexp_extract(line, _LABEL_LINE, 1) == label), F.lit(False))
+    alone = F.coalesce(F.contains(line, label) & (label != "") & (F.regexp_extract(line, _LABEL_LINE, 1) == label), F.lit(False))
     seen = short.withColumns({"alone": alone, "beside": beside}).withColumn("body", F.coalesce("beside", "line"))
     label_lines = seen.where("alone").select("item_key", "line_no", F.lit(True).alias("is_label"), F.lit(False).alias("is_running"), F.lit(False).alias("is_misread"))
     bodies = seen.where(~F.col("alone") & F.col("body").rlike(r"\p{L}.*\p{L}")).withColumn("form", confusable_form(F.col("body")))
@@ -139,43 +155,94 @@ def line_breaks(cleaned: DataFrame) -> DataFrame:
     return rows.withColumns({"joined": F.concat("left", "right"), "compound": F.concat_ws("-", "left", "right")})
 
 
-def lexicon(items: DataFrame, extra: DataFrame) -> DataFrame:
+def counted_words(items: DataFrame) -> DataFrame:
+    """word, trusted and seen of every word and, with its hyphens, every compound: one pass over the texts."""
+    compounds = F.when(F.contains("value", F.lit("-")), F.regexp_extract_all(F.lower("value"), F.lit(_COMPOUND), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    rows = items.where(F.col("value").isNotNull()).select((~_scanned()).cast("int").alias("t"), F.explode(F.concat(_words(F.col("value")), compounds)).alias("word"))
+    return rows.where(_is_word(F.col("word"))).groupBy("word").agg(F.sum("t").cast("bigint").alias("trusted"), F.count(F.lit(1)).alias("seen"))
+
+
+def lexicon(counted: DataFrame, extra: DataFrame) -> DataFrame:
     """word, trusted and seen: occurrences in trusted sources, and in all.
 
     `extra` (column word) adds words joined across lines; they are in the lexicon
     with whatever counts their whole spelling has elsewhere.
     """
-    own = items.where(F.col("value").isNotNull()).select(F.when(F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), 0).otherwise(1).alias("t"), F.explode(_words(F.col("value"))).alias("word")).where(_is_word(F.col("word")))
-    counted = own.select("word", "t", F.lit(1).alias("n")).unionByName(extra.where(_is_word(F.col("word"))).select("word", F.lit(0).alias("t"), F.lit(0).alias("n")))
-    return counted.groupBy("word").agg(F.sum("t").alias("trusted"), F.sum("n").alias("seen")).where(F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"\p{N}.*\p{N}.*\p{N}|[\u0600-\uFFFF]"))
+    none = F.lit(0).cast("bigint")
+    every = counted.where(~F.contains("word", F.lit("-"))).unionByName(extra.where(_is_word(F.col("word"))).select("word", none.alias("trusted"), none.alias("seen")))
+    words = every.groupBy("word").agg(F.sum("trusted").alias("trusted"), F.sum("seen").alias("seen"))
+    return words.where(F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"\p{N}.*\p{N}.*\p{N}|[\u0600-\uFFFF]"))
 
 
-def corrections(words: DataFrame) -> DataFrame:
-    """misread, correction and rank 1 of the frequent words that explain a rare one.
+def _explained(rare: DataFrame, frequent: DataFrame, confusions: tuple[tuple[str, str], ...]) -> DataFrame:
+    """word, correction and often: every frequent word that one of the confusions leads to.
 
     The join key is the anagram hash: of a rare word, once for each confusion that
     it contains, moved by that confusion's difference. No pair of words meets
     unless it differs by exactly one known confusion.
     """
-    rare = words.where((F.col("trusted") * 10 <= F.col("seen")))
-    frequent = words.where((F.col("seen") >= MIN_FREQUENT) & (F.col("trusted") > 0) & F.col("word").rlike(r"^[\p{L}\p{M}]+$"))
-    table = F.array(*[F.struct(F.lit(wrong).alias("wrong"), F.lit(right).alias("right"), F.lit(_hash(right) - _hash(wrong)).cast("bigint").alias("difference")) for right, wrong in CONFUSIONS])
-    moved = rare.select("word", "seen", anagram_hash(F.col("word")).alias("h"), F.explode(table).alias("c")).where(F.expr("contains(word, c.wrong)")).select("word", "seen", "c.wrong", "c.right", (F.col("h") + F.col("c.difference")).alias("h"))
+    table = F.array(*[F.struct(F.lit(wrong).alias("wrong"), F.lit(right).alias("right"), F.lit(_hash(right) - _hash(wrong)).cast("bigint").alias("difference")) for right, wrong in confusions])
+    moved = rare.select("word", "seen", anagram_hash(F.col("word")).alias("h"), F.explode(table).alias("c")).where(F.expr("contains(word, c.wrong)"))
+    moved = moved.select("word", "seen", "c.wrong", "c.right", F.pmod(F.col("h") + F.col("c.difference"), F.lit(HASH_MODULUS)).alias("h"))
     targets = frequent.select(F.col("word").alias("correction"), F.col("seen").alias("often"), anagram_hash(F.col("word")).alias("h"))
     proof = F.expr("exists(sequence(1, length(word)), i -> substring(word, i, length(wrong)) = wrong and concat(substring(word, 1, i - 1), right, substring(word, i + length(wrong))) = correction)")
-    met = moved.join(targets, "h").where((F.col("often") >= MIN_RATIO * F.greatest(F.col("seen"), F.lit(1))) & proof)
+    return moved.join(targets, "h").where((F.col("often") >= MIN_RATIO * F.greatest(F.col("seen"), F.lit(1))) & proof).select("word", "correction", "often")
+
+
+def _frequent(words: DataFrame) -> DataFrame:
+    return words.where((F.col("seen") >= MIN_FREQUENT) & (F.col("trusted") > 0) & F.col("word").rlike(r"^[\p{L}\p{M}]+$"))
+
+
+def corrections(words: DataFrame) -> DataFrame:
+    """misread, correction and often: the most frequent of the words that explain a rare one."""
+    met = _explained(words.where((F.col("trusted") * 10 <= F.col("seen"))), _frequent(words), CONFUSIONS)
     best = F.max_by("correction", F.struct("often", F.col("correction"))).alias("correction")
     return met.groupBy("word").agg(best, F.max("often").alias("often")).withColumnRenamed("word", "misread")
 
 
-def judge_breaks(breaks: DataFrame, words: DataFrame, fixes: DataFrame, items: DataFrame) -> DataFrame:
+def weak_candidates(words: DataFrame, fixes: DataFrame) -> DataFrame:
+    """misread, correction and often by the weak confusions, of words that trusted text never holds and no other confusion explains."""
+    unheard = words.where("trusted = 0").join(fixes.select(F.col("misread").alias("word")), "word", "left_anti")
+    return _explained(unheard, _frequent(words), WEAK_CONFUSIONS).distinct().withColumnRenamed("word", "misread")
+
+
+def _small(df: DataFrame, word: str) -> DataFrame:
+    """`df` with a broadcast hint if its size is checked to be small."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.length(word)).alias("longest")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["longest"] or 0) <= BROADCAST_CHARS else df
+
+
+def _in_place(text: Column) -> Column:
+    """Each word of a text with its neighbours, as structs (left, word, right); the last struct has no word."""
+    words = _words(text)
+    shifted = F.arrays_zip(F.concat(F.array(F.lit("")), words), words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))))
+    return F.transform(shifted, lambda z: F.struct(z["0"].alias("left"), z["1"].alias("word"), z["2"].alias("right")))
+
+
+def supported(occurrences: DataFrame, trusted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """item_key, misread and correction of the occurrences whose correction has a neighbour's support.
+
+    `occurrences` (item_key, left, word, right) are of scanned text and `trusted`
+    (left, word, right) of the rest; a candidate is believed where trusted text has
+    its correction beside the same left or right neighbour.
+    """
+    asked = cut_lineage(occurrences.join(_small(candidates, "misread").withColumnRenamed("misread", "word"), "word").select("item_key", F.col("word").alias("misread"), "correction", "often", "left", "right"))
+    wanted = candidates.select(F.col("correction").alias("word")).distinct()
+    sides = lambda df: df.select("word", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("near")), F.struct(F.lit("r").alias("side"), F.col("right").alias("near")))).alias("n")).select("word", "n.side", "n.near").where("near <> ''").distinct()
+    known = sides(trusted.join(_small(wanted, "word"), "word", "left_semi")).join(sides(asked.withColumn("word", F.col("correction"))), ["word", "side", "near"], "left_semi")
+    left, right = (known.where(F.col("side") == k).select(F.col("word").alias("correction"), F.col("near").alias(c), F.lit(True).alias(f"__{c}")) for k, c in (("l", "left"), ("r", "right")))
+    met = asked.join(left, ["correction", "left"], "left").join(right, ["correction", "right"], "left").where("__left or __right")
+    return met.groupBy("item_key", "misread").agg(F.max_by("correction", F.struct("often", "correction")).alias("correction"))
+
+
+def judge_breaks(breaks: DataFrame, words: DataFrame, fixes: DataFrame, counted: DataFrame) -> DataFrame:
     """`breaks` with is_hyphen: the mark is not part of the word's spelling.
 
     Soft hyphens and the not sign never are. A hyphen is one where the joined
     spelling occurs more often than the hyphenated one; with neither known, where
     the joined word is a known misreading or a part is no word of its own.
     """
-    compounds = items.where(F.contains("value", F.lit("-"))).select(F.explode(F.regexp_extract_all(F.lower("value"), F.lit(_COMPOUND), F.lit(1))).alias("compound")).groupBy("compound").agg(F.count(F.lit(1)).alias("hyphenated"))
+    compounds = counted.where(F.contains("word", F.lit("-"))).select(F.col("word").alias("compound"), F.col("seen").alias("hyphenated"))
     known = words.where("trusted > 0").select("word", "trusted")
     asked = breaks.select("left", "right", "joined", "compound").distinct()
     judged = (
@@ -197,28 +264,34 @@ def judge_breaks(breaks: DataFrame, words: DataFrame, fixes: DataFrame, items: D
 class ScanNoise:
     """The parts of the repair, each a DataFrame over all items.
 
-    Edge lines, line breaks, the lexicon and the corrections are small against
-    the text and used several times: each is computed once and written to the
-    checkpoint folder, instead of planned again in every branch.
+    The columns that are needed, of each item once, are a table in the checkpoint
+    folder. Edge lines, line breaks, the lexicon and the corrections are small
+    against the text and used several times: each is computed once and
+    checkpointed, instead of planned again in every branch.
     """
 
     def __init__(self, items: DataFrame, pages: DataFrame) -> None:
-        self.items = items.select("item_key", "parse_id", "page_index", "type", "source", "reading_order", "value")
+        first = F.lag("item_key").over(Window.partitionBy("item_key").orderBy(*[c for c in ("loaded_at",) if c in items.columns] or ["item_key"])).isNull()
+        held = items.where(F.col("value").isNotNull()).withColumn("__first", first).where("__first")
+        self.items = written(held.select("item_key", "parse_id", "page_index", "type", "source", "reading_order", "value"))
         self.edges = cut_lineage(edge_lines(self.items, pages))
         self.cleaned = _cleaned(self.items, self.edges)
         self.breaks = cut_lineage(line_breaks(self.cleaned))
-        self.words = cut_lineage(lexicon(self.items, self.breaks.select(F.col("joined").alias("word"))))
+        counted = cut_lineage(counted_words(self.items))
+        self.words = cut_lineage(lexicon(counted, self.breaks.select(F.col("joined").alias("word"))))
         self.fixes = cut_lineage(corrections(self.words))
-        self.judged = judge_breaks(self.breaks, self.words, self.fixes, self.items)
+        self.judged = judge_breaks(self.breaks, self.words, self.fixes, counted)
 
     def misread_words(self) -> DataFrame:
         """item_key, misread, correction of every misread word, cut words included."""
         whole = F.when(F.col("text").rlike(_BROKEN), F.regexp_replace("text", _BREAK, " ")).otherwise(F.col("text"))
-        inner = self.cleaned.select("item_key", F.explode(_words(whole)).alias("misread")).where(_is_word(F.col("misread")))
+        inner = self.cleaned.select("item_key", F.explode(_words(whole)).alias("misread"))
         cut = self.judged.select("item_key", F.explode(F.when(F.col("is_hyphen"), F.array("joined")).otherwise(F.split("compound", "-"))).alias("misread"))
-        top = self.words.where("trusted > 0").orderBy(F.desc("seen"), "word").limit(TOP_WORDS).select(F.col("word").alias("misread")).join(self.fixes, "misread", "left_anti")
-        unusual = inner.join(F.broadcast(top), "misread", "left_anti").unionByName(cut)
-        return unusual.join(self.fixes, "misread").select("item_key", "misread", "correction").distinct()
+        certain = inner.unionByName(cut).join(_small(self.fixes, "misread"), "misread").select("item_key", "misread", "correction").distinct()
+        weak = cut_lineage(weak_candidates(self.words, self.fixes))
+        placed = self.cleaned.select("item_key", F.inline(_in_place(whole)))
+        trusted = self.items.where(~_scanned()).select(F.inline(_in_place(F.col("value"))))
+        return certain.unionByName(supported(placed, trusted, weak))
 
     def defects(self) -> DataFrame:
         """item_key and defect: hyphen, misread, running or page_no; each once."""
@@ -231,8 +304,7 @@ class ScanNoise:
         """One row per scanned item: item_key, parse_id, page_index, reading_order, repaired."""
         fixes = self.misread_words().groupBy("item_key").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("misread", "correction")))).alias("fixes"))
         joins = self.judged.groupBy("item_key").agg(F.array_sort(F.collect_set(F.struct("piece", "is_hyphen"))).alias("joins"))
-        rows = self.cleaned.groupBy("item_key").agg(*[F.first(c).alias(c) for c in ("parse_id", "page_index", "reading_order", "text")])
-        full = rows.join(fixes, "item_key", "left").join(joins, "item_key", "left")
+        full = self.cleaned.join(fixes, "item_key", "left").join(joins, "item_key", "left")
         return full.select("item_key", "parse_id", "page_index", "reading_order", rewrite("text", "fixes", "joins").alias("repaired"))
 
 

@@ -79,6 +79,36 @@ def test_frequent_misreading_with_few_trusted_occurrences(spark):
     assert {r["repaired"] for r in noise.repaired().collect()} == {"The residual turbine"}
 
 
+def test_weak_confusions_need_a_neighbour(spark):
+    # "hause" could be "house" and "rnn" "run": believed beside a word that trusted text has beside the frequent one
+    trusted = [(k, 1, 1, "text", "native", k, "the old house was sold before the next run began again") for k in range(1, 60)]
+    scans = [(101, 2, 1, "text", "ocr", 0, "an old hause burned"), (102, 2, 1, "text", "ocr", 1, "zu hause bleiben"), (103, 2, 1, "text", "ocr", 2, "our next ruu ended"), (104, 2, 1, "text", "ocr", 3, "hause"), (105, 2, 1, "text", "ocr", 4, "the house stood")]
+    noise = S.ScanNoise(*tables(spark, [*trusted, *scans]))
+    assert {tuple(r) for r in noise.misread_words().collect()} == {(101, "hause", "house"), (103, "ruu", "run")}
+    texts = {r["item_key"]: r["repaired"] for r in noise.repaired().collect()}
+    assert texts[101] == "an old house burned" and texts[102] == "zu hause bleiben"
+    held = [*trusted, *scans, (900, 1, 1, "text", "native", 0, "zu hause")]  # trusted text has the word: no misreading
+    assert {tuple(r)[1] for r in S.ScanNoise(*tables(spark, held)).misread_words().collect()} == {"ruu"}
+
+
+def test_long_lines_long_words_and_short_headers(spark):
+    header = "Coronia Logistics annual account of the harbour and the inland terminals for the financial year two thousand and twenty-four, volume two"
+    word = "donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft"
+    items = [(k, 1, 1, "text", "native", k, f"die {word} tagte") for k in range(1, 40)]
+    items += [(100, 2, 1, "header", "native", 0, header), (101, 2, 1, "text", "ocr", 1, f"{header}\nEs tagte die {word.replace('e', 'c', 1)}")]
+    items += [(110 + k, 3, k, "header", "native", 0, "年次報告") for k in (1, 2)] + [(120, 3, 3, "text", "ocr", 1, "年次報告\nEs tagte")]
+    items += [(130, 4, 1, "header", "native", 0, "Ja"), (131, 4, 2, "text", "ocr", 1, "Ja\nEs tagte")]  # seen on one page only
+    noise = S.ScanNoise(*tables(spark, items))
+    assert {tuple(r) for r in noise.defects().collect()} == {(101, "running"), (101, "misread"), (120, "running")}
+
+
+def test_later_deliveries_count_once(spark):
+    # four deliveries of one text are one occurrence: not enough to make its word frequent
+    items = [(1, 1, 1, "text", "native", 0, "residual residual turbine")] * 12 + [(2, 2, 1, "text", "ocr", 0, "rcsidual")]
+    noise = S.ScanNoise(*tables(spark, items))
+    assert noise.words.where("word = 'residual'").first()["seen"] == 2 and noise.fixes.count() == 0
+
+
 def test_paragraph_over_300_pages(spark):
     df = spark.range(300).selectExpr("id as item_key", "1L as parse_id", "cast(id as int) as page_index", "0 as reading_order", "concat('w', id) as repaired")
     assert [(r["item_key"], r["parts"], r["paragraph"].split(" ")) for r in S.paragraphs(df).collect()] == [(0, 300, [f"w{k}" for k in range(300)])]
