@@ -27,6 +27,7 @@ values are processed whole.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pagelore.session import cut_lineage, written
+from pagelore.session import cut_lineage
 
 #: Fixed values: (as printed, as misread) character confusions of text recognition.
 CONFUSIONS = (
@@ -53,6 +54,8 @@ MIN_FREQUENT = 5  # occurrences of a word that corrects another
 MIN_RATIO = 10  # times that the frequent word occurs more often
 BROADCAST_ROWS = 100_000  # corrections are broadcast up to so many, of at most BROADCAST_CHARS letters, else joined by shuffle
 BROADCAST_CHARS = 40
+BROADCAST_KEYS = 1_000_000  # keys of items delivered several times, of sixteen bytes each
+FEW_WORDS = 200  # up to so many corrections, texts without any are passed over before they are split
 HASH_MODULUS = (1 << 61) - 1
 
 #: What lies between words of lower-cased text; the plain range comes first as most characters are in it.
@@ -120,8 +123,8 @@ def edge_lines(items: DataFrame, pages: DataFrame) -> DataFrame:
     anywhere = spellings.groupBy("form", "exact").agg(F.sum("n").alias("n"), F.count_distinct(F.when(~F.col("short"), F.col("parse_id"))).alias("parses")).groupBy("form").agg(F.max_by("exact", F.struct("n", "exact")).alias("usual"), F.sum("parses").alias("parses"))
     # lines much longer than any label and running text are wrapped text; a confusion at most doubles a letter
     longest = 2 * (spellings.agg(F.max(F.length("exact"))).first()[0] or 0) + 2 * (labels.agg(F.max(F.length("label"))).first()[0] or 0) + 40
-    lines = _targets(items).select("item_key", "parse_id", "page_index", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    short = lines.withColumn("line", F.lower(F.trim("line"))).where((F.col("line") != "") & (F.length("line") <= longest)).join(labels, ["parse_id", "page_index"], "left")
+    lines = _targets(items).join(labels, ["parse_id", "page_index"], "left").select("item_key", "parse_id", "label", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    short = lines.withColumn("line", F.lower(F.trim("line"))).where((F.col("line") != "") & (F.length("line") <= longest))
     label, line = F.col("label"), F.col("line")
     head, tail = F.expr("substring(line, 1, length(line) - length(label))"), F.expr("substring(line, length(label) + 1)")
     gap_before, gap_after = head.rlike(r"(?:\s\s|\|\s*)$"), tail.rlike(r"^(?:\s\s|\s*\|)")
@@ -130,13 +133,17 @@ def edge_lines(items: DataFrame, pages: DataFrame) -> DataFrame:
         .when(F.startswith(line, label) & gap_after, F.regexp_replace(tail, r"^[\s|]+", ""))
         .otherwise(F.lit(None))
     )
-    alone = F.coalesce(F.contains(line, label) & (label != "") & (F.regexp_extract(line, _LABEL_LINE, 1) == label), F.lit(False))
+    # around a label stand one short word, brackets and space only: what else is as long as that cannot match
+    bare = lambda c: F.length(F.translate(c, "[]()-–—| \t\x0b\f\r", ""))
+    alone = F.coalesce(F.contains(line, label) & (bare(line) <= bare(label) + 6) & (label != "") & (F.regexp_extract(line, _LABEL_LINE, 1) == label), F.lit(False))
     seen = short.withColumns({"alone": alone, "beside": beside}).withColumn("body", F.coalesce("beside", "line"))
-    label_lines = seen.where("alone").select("item_key", "line_no", F.lit(True).alias("is_label"), F.lit(False).alias("is_running"), F.lit(False).alias("is_misread"))
-    bodies = seen.where(~F.col("alone") & F.col("body").rlike(r"\p{L}.*\p{L}")).withColumn("form", confusable_form(F.col("body")))
-    met = bodies.join(anywhere, "form").join(running, ["parse_id", "form"], "left").where(F.col("own") | (F.col("parses") > 1))
-    matched = met.groupBy("item_key", "line_no").agg(F.max(F.col("beside").isNotNull()).alias("is_label"), F.lit(True).alias("is_running"), F.max(F.col("usual") != F.col("body")).alias("is_misread"))
-    return label_lines.unionByName(matched)
+    form = F.when(~F.col("alone") & F.col("body").rlike(r"\p{L}.*\p{L}"), confusable_form(F.col("body")))
+    # one pass over the lines: where the running texts are few, nothing but the lines' keys to their labels is shuffled
+    met = seen.select("item_key", "parse_id", "line_no", "alone", "body", F.col("beside").isNotNull().alias("beside"), form.alias("form"))
+    met = met.join(_small(cut_lineage(anywhere), "usual", 400), "form", "left").join(_small(cut_lineage(running), "form", 400), ["parse_id", "form"], "left")
+    runs = F.coalesce(F.col("own") | (F.col("parses") > 1), F.lit(False))
+    hits = met.where(F.col("alone") | runs)
+    return hits.groupBy("item_key", "line_no").agg(F.max(F.col("alone") | F.col("beside")).alias("is_label"), F.max(runs).alias("is_running"), F.max(runs & (F.col("usual") != F.col("body"))).alias("is_misread"))
 
 
 def _cleaned(items: DataFrame, edges: DataFrame) -> DataFrame:
@@ -155,11 +162,29 @@ def line_breaks(cleaned: DataFrame) -> DataFrame:
     return rows.withColumns({"joined": F.concat("left", "right"), "compound": F.concat_ws("-", "left", "right")})
 
 
+def each_once(items: DataFrame) -> DataFrame:
+    """The first delivery of each item.
+
+    Only keys are shuffled to find the items that came several times; these are
+    few, so their first times are broadcast if that is checked, and joined by
+    shuffle otherwise. Without times, or where two deliveries have one time, rows
+    are ranked instead.
+    """
+    if "loaded_at" in items.columns:
+        several = cut_lineage(items.groupBy("item_key").agg(F.count(F.lit(1)).alias("__n"), F.min("loaded_at").alias("__first")).where("__n > 1").select("item_key", "__first"))
+        several = F.broadcast(several) if several.count() <= BROADCAST_KEYS else several
+        marked = items.join(several, "item_key", "left")
+        if marked.where("__first is not null").groupBy("item_key", "loaded_at").count().where("count > 1 or loaded_at is null").isEmpty():
+            return marked.where("__first is null or loaded_at = __first").drop("__first")
+    first = F.row_number().over(Window.partitionBy("item_key").orderBy(*[c for c in ("loaded_at",) if c in items.columns], "value"))
+    return items.withColumn("__first", first).where("__first = 1").drop("__first")
+
+
 def counted_words(items: DataFrame) -> DataFrame:
     """word, trusted and seen of every word and, with its hyphens, every compound: one pass over the texts."""
     compounds = F.when(F.contains("value", F.lit("-")), F.regexp_extract_all(F.lower("value"), F.lit(_COMPOUND), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    rows = items.where(F.col("value").isNotNull()).select((~_scanned()).cast("int").alias("t"), F.explode(F.concat(_words(F.col("value")), compounds)).alias("word"))
-    return rows.where(_is_word(F.col("word"))).groupBy("word").agg(F.sum("t").cast("bigint").alias("trusted"), F.count(F.lit(1)).alias("seen"))
+    rows = items.select((~_scanned()).cast("bigint").alias("t"), F.explode(F.concat(_words(F.col("value")), compounds)).alias("word"))
+    return rows.where(_is_word(F.col("word"))).groupBy("word").agg(F.sum("t").alias("trusted"), F.count(F.lit(1)).alias("seen"))
 
 
 def lexicon(counted: DataFrame, extra: DataFrame) -> DataFrame:
@@ -182,7 +207,7 @@ def _explained(rare: DataFrame, frequent: DataFrame, confusions: tuple[tuple[str
     unless it differs by exactly one known confusion.
     """
     table = F.array(*[F.struct(F.lit(wrong).alias("wrong"), F.lit(right).alias("right"), F.lit(_hash(right) - _hash(wrong)).cast("bigint").alias("difference")) for right, wrong in confusions])
-    moved = rare.select("word", "seen", anagram_hash(F.col("word")).alias("h"), F.explode(table).alias("c")).where(F.expr("contains(word, c.wrong)"))
+    moved = rare.select("word", "seen", anagram_hash(F.col("word")).alias("h"), F.explode(F.filter(table, lambda c: F.contains(F.col("word"), c["wrong"]))).alias("c"))
     moved = moved.select("word", "seen", "c.wrong", "c.right", F.pmod(F.col("h") + F.col("c.difference"), F.lit(HASH_MODULUS)).alias("h"))
     targets = frequent.select(F.col("word").alias("correction"), F.col("seen").alias("often"), anagram_hash(F.col("word")).alias("h"))
     proof = F.expr("exists(sequence(1, length(word)), i -> substring(word, i, length(wrong)) = wrong and concat(substring(word, 1, i - 1), right, substring(word, i + length(wrong))) = correction)")
@@ -206,32 +231,36 @@ def weak_candidates(words: DataFrame, fixes: DataFrame) -> DataFrame:
     return _explained(unheard, _frequent(words), WEAK_CONFUSIONS).distinct().withColumnRenamed("word", "misread")
 
 
-def _small(df: DataFrame, word: str) -> DataFrame:
+def _small(df: DataFrame, word: str, chars: int = BROADCAST_CHARS) -> DataFrame:
     """`df` with a broadcast hint if its size is checked to be small."""
     size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.length(word)).alias("longest")).first()
-    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["longest"] or 0) <= BROADCAST_CHARS else df
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["longest"] or 0) <= chars else df
 
 
-def _in_place(text: Column) -> Column:
-    """Each word of a text with its neighbours, as structs (left, word, right); the last struct has no word."""
-    words = _words(text)
-    shifted = F.arrays_zip(F.concat(F.array(F.lit("")), words), words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))))
-    return F.transform(shifted, lambda z: F.struct(z["0"].alias("left"), z["1"].alias("word"), z["2"].alias("right")))
+def _beside(words: Column, at: Column) -> Column:
+    """The neighbours of a word, as an array of (side, near)."""
+    near = lambda side, i: F.struct(F.lit(side).alias("side"), F.get(words, i).alias("near"))
+    return F.array(F.when(at > 0, near("l", at - 1)), near("r", at + 1))
 
 
 def supported(occurrences: DataFrame, trusted: DataFrame, candidates: DataFrame) -> DataFrame:
     """item_key, misread and correction of the occurrences whose correction has a neighbour's support.
 
-    `occurrences` (item_key, left, word, right) are of scanned text and `trusted`
-    (left, word, right) of the rest; a candidate is believed where trusted text has
-    its correction beside the same left or right neighbour.
+    `occurrences` (item_key, misread, side, near) are of scanned text, `trusted`
+    (value) is the rest; a candidate is believed where trusted text has its
+    correction beside the same left or right neighbour.
     """
-    asked = cut_lineage(occurrences.join(_small(candidates, "misread").withColumnRenamed("misread", "word"), "word").select("item_key", F.col("word").alias("misread"), "correction", "often", "left", "right"))
-    wanted = candidates.select(F.col("correction").alias("word")).distinct()
-    sides = lambda df: df.select("word", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("near")), F.struct(F.lit("r").alias("side"), F.col("right").alias("near")))).alias("n")).select("word", "n.side", "n.near").where("near <> ''").distinct()
-    known = sides(trusted.join(_small(wanted, "word"), "word", "left_semi")).join(sides(asked.withColumn("word", F.col("correction"))), ["word", "side", "near"], "left_semi")
-    left, right = (known.where(F.col("side") == k).select(F.col("word").alias("correction"), F.col("near").alias(c), F.lit(True).alias(f"__{c}")) for k, c in (("l", "left"), ("r", "right")))
-    met = asked.join(left, ["correction", "left"], "left").join(right, ["correction", "right"], "left").where("__left or __right")
+    asked = cut_lineage(occurrences.join(_small(candidates, "misread"), "misread").where("near <> ''").distinct())
+    if asked.isEmpty():
+        return asked.select("item_key", "misread", "correction")
+    wanted = cut_lineage(asked.select(F.col("correction").alias("word")).distinct())
+    few = [r["word"] for r in wanted.limit(FEW_WORDS + 1).collect()]
+    if len(few) <= FEW_WORDS:
+        low = F.lower("value")
+        trusted = trusted.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in few]))
+    placed = trusted.select(_words(F.col("value")).alias("words")).select("words", F.posexplode("words").alias("at", "word")).join(_small(wanted, "word"), "word", "left_semi")
+    known = placed.select(F.col("word").alias("correction"), F.explode(_beside(F.col("words"), F.col("at"))).alias("n")).select("correction", "n.side", "n.near").where("near <> ''").distinct()
+    met = asked.join(known, ["correction", "side", "near"], "left_semi")
     return met.groupBy("item_key", "misread").agg(F.max_by("correction", F.struct("often", "correction")).alias("correction"))
 
 
@@ -264,16 +293,14 @@ def judge_breaks(breaks: DataFrame, words: DataFrame, fixes: DataFrame, counted:
 class ScanNoise:
     """The parts of the repair, each a DataFrame over all items.
 
-    The columns that are needed, of each item once, are a table in the checkpoint
-    folder. Edge lines, line breaks, the lexicon and the corrections are small
+    Of each item the first delivery counts. Edge lines, line breaks, the lexicon and the corrections are small
     against the text and used several times: each is computed once and
     checkpointed, instead of planned again in every branch.
     """
 
     def __init__(self, items: DataFrame, pages: DataFrame) -> None:
-        first = F.lag("item_key").over(Window.partitionBy("item_key").orderBy(*[c for c in ("loaded_at",) if c in items.columns] or ["item_key"])).isNull()
-        held = items.where(F.col("value").isNotNull()).withColumn("__first", first).where("__first")
-        self.items = written(held.select("item_key", "parse_id", "page_index", "type", "source", "reading_order", "value"))
+        keep = [c for c in ("item_key", "parse_id", "page_index", "type", "source", "reading_order", "value", "loaded_at") if c in items.columns]
+        self.items = each_once(items.select(*keep).where(F.col("value").isNotNull()))
         self.edges = cut_lineage(edge_lines(self.items, pages))
         self.cleaned = _cleaned(self.items, self.edges)
         self.breaks = cut_lineage(line_breaks(self.cleaned))
@@ -285,13 +312,15 @@ class ScanNoise:
     def misread_words(self) -> DataFrame:
         """item_key, misread, correction of every misread word, cut words included."""
         whole = F.when(F.col("text").rlike(_BROKEN), F.regexp_replace("text", _BREAK, " ")).otherwise(F.col("text"))
-        inner = self.cleaned.select("item_key", F.explode(_words(whole)).alias("misread"))
-        cut = self.judged.select("item_key", F.explode(F.when(F.col("is_hyphen"), F.array("joined")).otherwise(F.split("compound", "-"))).alias("misread"))
-        certain = inner.unionByName(cut).join(_small(self.fixes, "misread"), "misread").select("item_key", "misread", "correction").distinct()
         weak = cut_lineage(weak_candidates(self.words, self.fixes))
-        placed = self.cleaned.select("item_key", F.inline(_in_place(whole)))
-        trusted = self.items.where(~_scanned()).select(F.inline(_in_place(F.col("value"))))
-        return certain.unionByName(supported(placed, trusted, weak))
+        listed = self.fixes.select("misread", F.lit(False).alias("weak")).unionByName(weak.select("misread", F.lit(True).alias("weak")).distinct())
+        listed = _small(cut_lineage(listed), "misread")
+        inner = self.cleaned.select("item_key", _words(whole).alias("words")).select("item_key", "words", F.posexplode("words").alias("at", "misread")).join(listed, "misread")
+        hits = cut_lineage(inner.select("item_key", "misread", "weak", F.when(F.col("weak"), _beside(F.col("words"), F.col("at"))).alias("beside")))
+        cut = self.judged.select("item_key", F.explode(F.when(F.col("is_hyphen"), F.array("joined")).otherwise(F.split("compound", "-"))).alias("misread"))
+        certain = hits.where("not weak").select("item_key", "misread").unionByName(cut).join(_small(self.fixes, "misread"), "misread").select("item_key", "misread", "correction").distinct()
+        occurrences = hits.where("weak").select("item_key", "misread", F.explode("beside").alias("n")).select("item_key", "misread", "n.side", "n.near")
+        return certain.unionByName(supported(occurrences, self.items.where(~_scanned()).select("value"), weak))
 
     def defects(self) -> DataFrame:
         """item_key and defect: hyphen, misread, running or page_no; each once."""
