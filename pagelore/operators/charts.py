@@ -11,8 +11,8 @@ def points_from_grid(grids: DataFrame) -> DataFrame:
 
     A blank category becomes "Category n", a repeated series name gets its column's number.
     """
-    body = grids.where(F.size("rows") > 1).select("item_key", F.get("rows", F.lit(0)).alias("head"), F.posexplode(F.slice("rows", 2, 1_000_000)).alias("category_no", "row"))
-    cells = body.select("item_key", "head", "category_no", F.get("row", F.lit(0)).alias("category"), F.posexplode(F.slice("row", 2, 1_000_000)).alias("series_no", "printed"))
+    body = grids.where(F.size("rows") > 1).select("item_key", F.get("rows", F.lit(0)).alias("head"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("category_no", "row"))
+    cells = body.select("item_key", "head", "category_no", F.get("row", F.lit(0)).alias("category"), F.posexplode(F.slice("row", F.lit(2), F.greatest(F.size("row"), F.lit(0)))).alias("series_no", "printed"))
     name = F.get("head", F.col("series_no") + 1)
     twice = F.size(F.filter("head", lambda h: h == name)) > 1
     series = F.when(twice, F.concat(name, F.lit(" ("), (F.col("series_no") + 1).cast("string"), F.lit(")"))).otherwise(name)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelore.operators.joins import stabbing_join
+from pagelore.session import cut_lineage
 
 #: Bands of a run's height, from its top, in which a rule strikes out or underlines.
 STRIKE, UNDERLINE = (0.35, 0.70), (0.75, 1.10)
@@ -97,15 +98,24 @@ def raster_gate(width: Column, height: Column, quality: Column, complete: Column
     )
 
 
-def outline_paths(tree: DataFrame, key: str = "item_key", parent: str = "parent", most: int = 16) -> DataFrame:
-    """Each node with its depth and the path of keys from its root: one recursive query."""
-    spark = tree.sparkSession
-    tree.select(F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView("__tree")
-    found = spark.sql(f"""
-        WITH RECURSIVE walk (k, path, depth) AS (
-            SELECT k, CAST(k AS STRING), 0 FROM __tree WHERE p IS NULL
-            UNION ALL
-            SELECT t.k, concat(w.path, '/', CAST(t.k AS STRING)), w.depth + 1 FROM walk w JOIN __tree t ON t.p = w.k WHERE w.depth < {int(most)}
-        ) SELECT k, path, depth FROM walk
-    """)
-    return found.select(F.col("k").alias(key), "path", "depth")
+def outline_paths(tree: DataFrame, key: str = "item_key", parent: str = "parent", most_rounds: int = 40) -> DataFrame:
+    """Each node with its depth and the path of keys from its root, of trees of any depth.
+
+    Pointer doubling: every node knows a stretch of its path and the node above it;
+    each round puts the stretch of that node before its own, so a chain of n nodes
+    takes log n rounds. Rounds are written to the checkpoint folder. A cycle is an
+    error, a parent that is not there starts a path as a root does.
+    """
+    nodes = tree.select(F.col(key).alias("k"), F.col(parent).alias("p"))
+    there = nodes.select(F.col("k").alias("p"), F.lit(True).alias("__there")).distinct()
+    walk = cut_lineage(nodes.join(there, "p", "left").select("k", F.when(F.col("__there"), F.col("p")).alias("up"), F.col("k").cast("string").alias("path"), F.lit(1).alias("steps")))
+    for _ in range(most_rounds):
+        if walk.where("up is not null").isEmpty():
+            return walk.select(F.col("k").alias(key), "path", (F.col("steps") - 1).alias("depth"))
+        above = walk.select(F.col("k").alias("up"), F.col("up").alias("__up"), F.col("path").alias("__path"), F.col("steps").alias("__steps"))
+        longer = walk.join(above, "up", "left")
+        walk = cut_lineage(longer.select("k", F.col("__up").alias("up"), F.when(F.col("__path").isNull(), F.col("path")).otherwise(F.concat_ws("/", "__path", "path")).alias("path"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps")))
+        # a path on a cycle doubles for ever: it is longer than there are nodes
+        if walk.where(F.col("up").isNotNull() & (F.col("steps") > F.lit(walk.count()))).count():
+            raise ValueError("the parents form a cycle")
+    raise ValueError("the parents form a cycle")

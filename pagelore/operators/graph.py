@@ -58,19 +58,23 @@ def closure_of_disabled(flags: DataFrame, needs: DataFrame, name: str = "flag",
     return f.join(off.withColumn("off", F.lit(True)), "flag", "left").select(F.col("flag").alias(name), F.col("off").isNull().alias("effective"))
 
 
-def outline_parents(df: DataFrame, by: Sequence[str], order: Sequence[str], level: str, key: str, deepest: int = 8) -> DataFrame:
+def outline_parents(df: DataFrame, by: Sequence[str], order: Sequence[str], level: str, key: str) -> DataFrame:
     """Each heading with its parent: the last one before it of a smaller level (null at the top).
 
-    One window keeps, for each level, the last heading seen; the parent is the
-    latest of those with a smaller level.
+    One window per level that the data hold keeps the last heading of that level;
+    the parent is the latest of those with a smaller level. Levels are few by
+    nature, headings are not. A heading with a null level has no parent and is none.
     """
+    levels = [r[0] for r in df.select(level).where(F.col(level).isNotNull()).distinct().orderBy(level).collect()]
+    if len(levels) > 1_000:
+        raise ValueError("levels are not levels: more than a thousand of them")
     before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("at"), F.col(key).alias("key"))
     rows = df.withColumn("__at", at)
-    for k in range(1, deepest):
-        rows = rows.withColumn(f"__{k}", F.last(F.when(F.col(level) == k, F.col("__at")), ignorenulls=True).over(before))
-    above = F.array_max(F.filter(F.array(*[F.when(F.col(level) > k, F.col(f"__{k}")) for k in range(1, deepest)]), lambda x: x.isNotNull()))
-    return rows.withColumn("parent", above["key"]).drop("__at", *[f"__{k}" for k in range(1, deepest)])
+    lasts = [F.when(F.col(level) > k, F.last(F.when(F.col(level) == k, F.col("__at")), ignorenulls=True).over(before)) for k in levels[:-1]]
+    none = F.lit(None).cast(df.schema[key].dataType)
+    above = F.array_max(F.array_compact(F.array(*lasts)))["key"] if lasts else none
+    return rows.withColumn("parent", above).drop("__at")
 
 
 def _kahn(nodes: list, rank: dict, after: dict) -> list | None:

@@ -85,10 +85,15 @@ def similar_box_pairs(rows: DataFrame, on: Sequence[str], key: str, box: str, th
 
     Boxes that overlap that much have nearly equal size and place: sizes fall in
     neighbouring powers of two and centres in neighbouring cells of that size, so
-    each box is looked up in at most 3 x 3 x 3 x 3 buckets by equality.
+    each box is looked up in at most 3 x 3 x 3 x 3 buckets by equality. That holds for
+    a share of at least half of the larger box, or a measure that is never above it
+    (intersection over union); other thresholds and measures are refused.
     """
     from pagelore.operators import geometry as G
 
+    if threshold < 0.5 or overlap not in (None, G.reciprocal, G.iou):
+        raise ValueError("similar boxes need a reciprocal overlap or IoU of at least 0.5; use interval_join for other measures")
+
     overlap = overlap or G.reciprocal
     b = F.col(box)
     level = lambda v: F.floor(F.log2(v)).cast("int")

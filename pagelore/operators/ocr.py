@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from pagelore.operators import geometry as G
 from pagelore.operators.aggregates import weighted_confidence
-from pagelore.operators.folds import fold_groups
 from pagelore.operators.graph import components
-from pagelore.operators.joins import similar_box_pairs
+from pagelore.operators.joins import interval_join, similar_box_pairs
 
 WORDS = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string"
 
@@ -44,62 +41,59 @@ def retained(confidence: Column, text: Column) -> Column:
     return (F.coalesce(confidence, F.lit(-1.0)) >= 0.45) | (F.length(F.regexp_replace(text, "[^0-9A-Za-z]", "")) >= 8)
 
 
-def _compact(text: str) -> str:
-    return re.sub("[^0-9a-z]+", " ", text.lower()).strip()
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^0-9a-z]+", " "))
 
 
-def same_line(a: dict, b: dict) -> bool:
-    """Whether two lines read the same place: enough overlap, and text that is equal, contained or similar."""
-    w = max(0.0, min(a["x"] + a["width"], b["x"] + b["width"]) - max(a["x"], b["x"]))
-    h = max(0.0, min(a["y"] + a["height"], b["y"] + b["height"]) - max(a["y"], b["y"]))
-    smaller = min(a["width"] * a["height"], b["width"] * b["height"])
-    overlap = w * h / smaller if smaller > 0 else 0.0
-    if overlap < 0.30:
-        return False
-    x, y = _compact(a["text"]), _compact(b["text"])
-    if x.replace(" ", "") == y.replace(" ", "") and len(x.replace(" ", "")) >= 4:
-        return True
-    p, q = set(x.split()), set(y.split())
-    return bool(p and q and (p <= q or q <= p)) or (overlap >= 0.60 and difflib.SequenceMatcher(None, x, y).ratio() >= 0.86)
+def same_place(share: Column, a: Column, b: Column) -> Column:
+    """Whether two plain texts whose boxes overlap by `share` of the smaller read one line.
 
+    They do if they are equal but for spaces (four characters at least), if the
+    words of one are all in the other, or, from an overlap of 0.60 on, if at most
+    14 % of the longer one's characters are edited.
+    """
+    x, y = (F.replace(t, F.lit(" "), F.lit("")) for t in (a, b))
+    words = [F.array_distinct(F.split(t, " ")) for t in (a, b)]
+    within = F.least(F.size(F.array_except(*words)), F.size(F.array_except(*words[::-1]))) == 0
+    return (share >= 0.30) & (((x == y) & (F.length(x) >= 4)) | ((x != "") & (y != "") & within) | ((share >= 0.60) & _alike(a, b)))
 
-def better(a: dict, b: dict) -> dict:
-    """The preferred of two readings of one line."""
-    conf = lambda r: -1.0 if r["confidence"] is None else r["confidence"]
-    x, y = _compact(a["text"]), _compact(b["text"])
-    if difflib.SequenceMatcher(None, x, y).ratio() >= 0.86 and abs(conf(a) - conf(b)) >= 0.03:
-        return a if conf(a) > conf(b) else b
-    p, q = set(x.split()), set(y.split())
-    if p < q or q < p:
-        return b if p < q else a
-    if conf(a) != conf(b):
-        return a if conf(a) > conf(b) else b
-    return a if len(a["text"]) >= len(b["text"]) else b
 
+def _alike(a: Column, b: Column) -> Column:
+    longer = F.greatest(F.length(a), F.length(b))
+    return (longer > 0) & (F.levenshtein(a, b) <= 0.14 * longer)
 
-def merge_passes(lines: DataFrame, by: Sequence[str], rank: str, key: str) -> DataFrame:
-    """Lines of a dense pass (rank 0) and a sparse pass (rank 1) as one set, with accepted true or false.
 
-    Each sparse line, in order, meets the first merged line that it repeats; the
-    better of the two stays. The outcome depends on the order, hence a fold.
+def merge_passes(lines: DataFrame, by: Sequence[str], rank: str, key: str) -> DataFrame:
+    """Lines of a dense pass (rank 0) and a sparse pass (rank 1) as one set: key columns and accepted.
+
+    A sparse line belongs to the first dense line (from the top, then the left, then
+    by key) that reads the same place; without one it is accepted. Of a dense line
+    and the sparse ones that belong to it the reading of the greatest preference is
+    accepted: of alike texts whose confidences lie 0.03 apart the surer one, then
+    the one whose words hold the other's and more, then confidence, then length,
+    then the dense pass. Null confidences count as -1; lines without a box or text
+    belong to no line.
     """
-    need = [rank, "y", "x", key, "text", "width", "height", "confidence"]
-
-    def merge(group: list[dict]) -> list[tuple]:
-        merged: list[dict] = []
-        lost: set = set()
-        for r in group:
-            at = next((i for i, m in enumerate(merged) if same_line(m, r)), None) if r[rank] else None
-            if at is None:
-                merged.append(r)
-                continue
-            winner = better(merged[at], r)
-            lost.add((r if winner is merged[at] else merged[at])[key])
-            merged[at] = winner
-        return [(g[key], g[key] not in lost) for g in group]
-
-    out = T.StructType([*lines.select(*by, key).schema.fields, T.StructField("accepted", T.BooleanType())])
-    return fold_groups(lines.select(*by, *need), by, need[:4], merge, out)
+    fields = ["text", "x", "y", "width", "height", "confidence"]
+    ready = lines.select(*by, rank, key, *fields).withColumns({"plain": _plain(F.col("text")), "sure": F.coalesce("confidence", F.lit(-1.0)), "low": F.col("y") + F.col("height")})
+    side = lambda k, p: ready.where(F.col(rank) == k).select(*by, *[F.col(c).alias(f"{p}_{c}") for c in (key, *fields, "plain", "sure", "low")])
+    met = interval_join(side(0, "d"), side(1, "s"), by, ("d_y", "d_low"), ("s_y", "s_low"), 100.0)
+    box = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in ("x", "y", "width", "height")])
+    met = met.where(F.coalesce(same_place(G.of_smaller(box("d"), box("s")), F.col("d_plain"), F.col("s_plain")), F.lit(False)))
+    held = [c for c in met.columns if c not in (*by, f"s_{key}")]
+    first = met.groupBy(*by, f"s_{key}").agg(F.min_by(F.struct(*held), F.struct("d_y", "d_x", f"d_{key}")).alias("m")).select(*by, f"s_{key}", "m.*")
+    clear = _alike(F.col("d_plain"), F.col("s_plain")) & (F.abs(F.col("d_sure") - F.col("s_sure")) >= 0.03)
+
+    def preference(own: str, other: str) -> Column:
+        mine, theirs = (F.array_distinct(F.split(f"{p}_plain", " ")) for p in (own, other))
+        more = (F.size(F.array_except(theirs, mine)) == 0) & (F.size(F.array_except(mine, theirs)) > 0)
+        return F.struct(F.when(clear, F.col(f"{own}_sure")).otherwise(0.0).alias("clear"), more.cast("int").alias("more"), F.col(f"{own}_sure").alias("sure"), F.length(f"{own}_text").alias("length"))
+
+    judged = first.select(*by, f"d_{key}", f"s_{key}", preference("s", "d").alias("__p"), (preference("s", "d") > preference("d", "s")).alias("wins"))
+    best = judged.where("wins").groupBy(*by, f"d_{key}").agg(F.max_by(f"s_{key}", F.struct("__p", f"s_{key}")).alias("__best"))
+    lost = judged.join(best, [*by, f"d_{key}"], "left").where(~F.col(f"s_{key}").eqNullSafe(F.col("__best"))).select(*by, F.col(f"s_{key}").alias(key))
+    lost = lost.unionByName(best.select(*by, F.col(f"d_{key}").alias(key))).withColumn("accepted", F.lit(False))
+    return lines.select(*by, key).join(lost, [*by, key], "left").withColumn("accepted", F.coalesce("accepted", F.lit(True)))
 
 
 def occurrences(rows: DataFrame, by: Sequence[str], text: str, box: str, key: str, order: Sequence[Column], threshold: float = 0.80) -> DataFrame:

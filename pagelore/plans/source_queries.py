@@ -60,6 +60,21 @@ ORACLE = {
         g AS (SELECT item_key, CAST(ln AS INTEGER) AS line_num, string_agg(t, ' ' ORDER BY wn) AS text, CAST(min(wn) * 60 AS INTEGER) AS x, CAST(ln * 12 AS INTEGER) AS y, CAST(max(wn * 60 + length(t) * 6) - min(wn) * 60 AS INTEGER) AS width, 10 AS height, count(*) AS words, max(c) AS c FROM k GROUP BY ALL)
         SELECT item_key, line_num, text, x, y, width, height, words, coalesce(c, -1) >= 0.45 OR length(regexp_replace(text, '[^0-9A-Za-z]', '', 'g')) >= 8 AS retained FROM g
     """,
+    "ocr_pass_merge": r"""
+        WITH i AS (SELECT item_key, any_value(parse_id) AS p, any_value(page_index) AS g, any_value(value) AS t, coalesce(any_value(confidence), -1) AS c, any_value(source) AS src, any_value(bbox) AS b FROM items WHERE source IN ('ocr', 'mixed') GROUP BY 1),
+        l AS (SELECT item_key AS k, p, g, src, t, c, b.x AS x, b.y AS y, b.width AS w, b.height AS h, trim(regexp_replace(lower(t), '[^0-9a-z]+', ' ', 'g')) AS a FROM i WHERE t <> '' AND b.width > 0),
+        q AS (SELECT *, list_distinct(string_split(a, ' ')) AS ws, replace(a, ' ', '') AS z FROM l),
+        m AS (SELECT d.k AS dk, s.k AS sk, d.y AS dy, d.x AS dx, d.c AS dc, s.c AS sc, length(d.t) AS dl, length(s.t) AS sl, d.a AS da, s.a AS sa, d.ws AS dw, s.ws AS sw, d.z AS dz, s.z AS sz,
+                greatest(0, least(d.x + d.w, s.x + s.w) - greatest(d.x, s.x)) * greatest(0, least(d.y + d.h, s.y + s.h) - greatest(d.y, s.y)) / least(d.w * d.h, s.w * s.h) AS share
+            FROM q d JOIN q s ON d.p = s.p AND d.g = s.g AND d.src = 'ocr' AND s.src = 'mixed' AND d.h > 0 AND s.h > 0),
+        f AS (SELECT *, greatest(length(da), length(sa)) > 0 AND levenshtein(da, sa) <= 0.14 * greatest(length(da), length(sa)) AS alike FROM m WHERE share >= 0.3),
+        one AS (SELECT * FROM f WHERE (dz = sz AND length(dz) >= 4) OR (dz <> '' AND sz <> '' AND (list_has_all(dw, sw) OR list_has_all(sw, dw))) OR (share >= 0.6 AND alike) QUALIFY row_number() OVER (PARTITION BY sk ORDER BY dy, dx, dk) = 1),
+        j AS (SELECT *, alike AND abs(dc - sc) >= 0.03 AS clear, list_has_all(sw, dw) AND NOT list_has_all(dw, sw) AS smore, list_has_all(dw, sw) AND NOT list_has_all(sw, dw) AS dmore FROM one),
+        r AS (SELECT *, {'a': CASE WHEN clear THEN sc ELSE 0 END, 'b': smore::INT, 'c': sc, 'd': sl} AS sp, {'a': CASE WHEN clear THEN dc ELSE 0 END, 'b': dmore::INT, 'c': dc, 'd': dl} AS dp FROM j),
+        best AS (SELECT dk, sk FROM r WHERE sp > dp QUALIFY row_number() OVER (PARTITION BY dk ORDER BY sp DESC, sk DESC) = 1),
+        lost AS (SELECT dk AS k FROM best UNION SELECT r.sk FROM r LEFT JOIN best USING (dk) WHERE r.sk IS DISTINCT FROM best.sk)
+        SELECT k AS item_key, k NOT IN (SELECT k FROM lost) AS accepted FROM l
+    """,
     "ocr_occurrences": """
         WITH RECURSIVE b AS (SELECT DISTINCT item_key, parse_id, page_index, type, confidence, bbox.x AS x, bbox.y AS y, bbox.width AS w, bbox.height AS h FROM items),
         p AS (SELECT a.item_key AS u, b.item_key AS v FROM b a JOIN b ON a.parse_id = b.parse_id AND a.page_index = b.page_index AND a.type = b.type AND a.item_key <> b.item_key AND a.w > 0 AND a.h > 0 AND b.w > 0 AND b.h > 0

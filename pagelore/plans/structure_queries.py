@@ -44,7 +44,7 @@ def outline_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def page_order(spark: SparkSession, d: str) -> DataFrame:
     """Items of each page in a stable order that keeps a block after the block above it."""
-    nodes = distinct_items(table(spark, d, "items"), *PAGE, "reading_order").select(*PAGE, "item_key", F.coalesce("reading_order", F.lit(1_000_000)).alias("reading_order"))
+    nodes = distinct_items(table(spark, d, "items"), *PAGE, "reading_order").select(*PAGE, "item_key", F.coalesce("reading_order", F.lit(2_147_483_647)).alias("reading_order"))
     edges = asof_prior_block(spark, d).join(nodes.select("item_key", *PAGE), "item_key").select(*PAGE, F.col("prior_key").alias("source"), F.col("item_key").alias("target"))
     return R.stable_order(nodes, edges, PAGE, "item_key", "reading_order", "source", "target").select("item_key", "position", "accepted")
 

@@ -2,7 +2,7 @@
 
 Event time is the event's own; the watermark is one hour unless said otherwise.
 Rows later than the watermark are dropped by Spark and counted in the query's
-progress. The reference has no windows; they are an addition.
+progress. Windows are an addition.
 """
 
 from __future__ import annotations

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pagelore.operators import evidence as V
@@ -36,3 +37,14 @@ def test_interleaving_and_paths(spark):
     assert [(r["system"], r["c"]) for r in plan[:4]] == [("a", 1), ("a", 2), ("b", 1), ("b", 2)] and len(plan) == 8
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None)], "item_key int, parent int")
     assert {(r["item_key"], r["path"], r["depth"]) for r in V.outline_paths(tree).collect()} == {(1, "1", 0), (2, "1/2", 1), (3, "1/2/3", 2), (4, "4", 0)}
+
+
+def test_outline_paths_of_deep_chains_and_cycles(spark):
+    chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(120)], "item_key bigint, parent bigint")
+    got = {r["item_key"]: (r["path"], r["depth"]) for r in V.outline_paths(chain).collect()}
+    assert got == {k: ("/".join(map(str, range(k + 1))), k) for k in range(120)}
+    with pytest.raises(ValueError, match="cycle"):
+        V.outline_paths(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "item_key bigint, parent bigint"))
+    lone = spark.createDataFrame([(7, 99)], "item_key bigint, parent bigint")  # its parent is not there
+    assert [tuple(r) for r in V.outline_paths(lone).collect()] == [(7, "7", 0)]
+    assert V.outline_paths(chain.limit(0)).count() == 0

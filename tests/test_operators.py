@@ -279,6 +279,28 @@ def test_markdown_and_newlines(spark):
     assert got == {1: "###### Title\n\n1. a\n3. b\n\n```\nx = 1\n```\n", 2: "\n"}
 
 
+def test_headings_of_any_level(spark):
+    levels = [1, 8, 9, 12, 9, None, 8, 20]
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(levels)], "d int, k int, level int")
+    got = [r["parent"] for r in R.outline_parents(df, ["d"], ["k"], "level", "k").orderBy("k").collect()]
+    assert got == [None, 0, 1, 2, 1, None, 0, 6]
+    assert R.outline_parents(df.limit(0), ["d"], ["k"], "level", "k").count() == 0
+
+
+def test_pass_merge_preferences(spark):
+    box = (0.0, 0.0, 50.0, 10.0)
+    rows = [
+        (1, 1, 0, "net total due", *box, 0.9), (1, 2, 1, "net total", *box, 0.95),  # the dense reading has more words
+        (2, 1, 0, "net totai due now", *box, 0.9), (2, 2, 1, "net total due now", *box, 0.95), (2, 3, 1, "net total due new", *box, 0.97),  # alike: the surest
+        (3, 1, 0, "net total", *box, None), (3, 2, 1, "net total", 0.0, 40.0, 50.0, 10.0, 0.9),  # elsewhere
+        (4, 1, 0, "net total", *box, 0.5), (4, 2, 1, "net total", *box, 0.5), (4, 3, 1, None, *box, 0.9), (4, 4, 1, "net total", None, None, None, None, 0.9),
+    ]
+    lines = spark.createDataFrame(rows, "p int, k int, pass int, text string, x double, y double, width double, height double, confidence double")
+    got = {(r["p"], r["k"]): r["accepted"] for r in O.merge_passes(lines, ["p"], "pass", "k").collect()}
+    assert got == {(1, 1): True, (1, 2): False, (2, 1): False, (2, 2): False, (2, 3): True, (3, 1): True, (3, 2): True, (4, 1): True, (4, 2): False, (4, 3): True, (4, 4): True}
+    assert O.merge_passes(lines.limit(0), ["p"], "pass", "k").count() == 0
+
+
 def test_lines_and_pass_merge(spark):
     words = spark.createDataFrame([(5, 1, 1, 1, 1, 2, 30, 0, 20, 10, 90.0, "world"), (5, 1, 1, 1, 1, 1, 0, 0, 20, 10, -1.0, "hello"), (4, 1, 1, 1, 1, 0, 0, 0, 9, 9, 1.0, "x"), (5, 1, 1, 1, 2, 1, 0, 0, 20, 10, 5.0, " ")], O.WORDS)
     r = O.build_lines(O.usable_words(words), ["page_num", "line_num"]).collect()
