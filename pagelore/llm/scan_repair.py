@@ -10,8 +10,8 @@ difference; a rare word whose hash plus a difference meets a frequent word's
 hash is a candidate, which the actual substitution then proves. Candidates are
 ranked by frequency. Confusions of ordinary vowels, and of u and n, lead from many
 a rare word to a frequent one: those are believed only of words that trusted text
-never holds, and only where a neighbour stands beside the frequent word in
-trusted text. Hyphens are judged by how often the joined and the
+never holds, and only where the frequent word stands beside the same neighbour
+elsewhere in scanned text. Hyphens are judged by how often the joined and the
 hyphenated spelling occur. Edge lines go by the page's label and by the parse's
 header and footer items, compared in a form in which confusable characters are
 equal.
@@ -27,7 +27,6 @@ values are processed whole.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,7 +54,6 @@ MIN_RATIO = 10  # times that the frequent word occurs more often
 BROADCAST_ROWS = 100_000  # corrections are broadcast up to so many, of at most BROADCAST_CHARS letters, else joined by shuffle
 BROADCAST_CHARS = 40
 BROADCAST_KEYS = 1_000_000  # keys of items delivered several times, of sixteen bytes each
-FEW_WORDS = 200  # up to so many corrections, texts without any are passed over before they are split
 HASH_MODULUS = (1 << 61) - 1
 
 #: What lies between words of lower-cased text; the plain range comes first as most characters are in it.
@@ -243,23 +241,15 @@ def _beside(words: Column, at: Column) -> Column:
     return F.array(F.when(at > 0, near("l", at - 1)), near("r", at + 1))
 
 
-def supported(occurrences: DataFrame, trusted: DataFrame, candidates: DataFrame) -> DataFrame:
+def supported(placed: DataFrame, candidates: DataFrame) -> DataFrame:
     """item_key, misread and correction of the occurrences whose correction has a neighbour's support.
 
-    `occurrences` (item_key, misread, side, near) are of scanned text, `trusted`
-    (value) is the rest; a candidate is believed where trusted text has its
-    correction beside the same left or right neighbour.
+    `placed` (item_key, word, side, near) are the neighbours, in scanned text, of the
+    candidates' rare and frequent words. A candidate is believed where its frequent
+    word stands beside the same left or right neighbour elsewhere.
     """
-    asked = cut_lineage(occurrences.join(_small(candidates, "misread"), "misread").where("near <> ''").distinct())
-    if asked.isEmpty():
-        return asked.select("item_key", "misread", "correction")
-    wanted = cut_lineage(asked.select(F.col("correction").alias("word")).distinct())
-    few = [r["word"] for r in wanted.limit(FEW_WORDS + 1).collect()]
-    if len(few) <= FEW_WORDS:
-        low = F.lower("value")
-        trusted = trusted.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in few]))
-    placed = trusted.select(_words(F.col("value")).alias("words")).select("words", F.posexplode("words").alias("at", "word")).join(_small(wanted, "word"), "word", "left_semi")
-    known = placed.select(F.col("word").alias("correction"), F.explode(_beside(F.col("words"), F.col("at"))).alias("n")).select("correction", "n.side", "n.near").where("near <> ''").distinct()
+    asked = placed.join(_small(candidates, "misread").withColumnRenamed("misread", "word"), "word").select("item_key", F.col("word").alias("misread"), "correction", "often", "side", "near")
+    known = placed.select(F.col("word").alias("correction"), "side", "near").distinct()
     met = asked.join(known, ["correction", "side", "near"], "left_semi")
     return met.groupBy("item_key", "misread").agg(F.max_by("correction", F.struct("often", "correction")).alias("correction"))
 
@@ -313,14 +303,15 @@ class ScanNoise:
         """item_key, misread, correction of every misread word, cut words included."""
         whole = F.when(F.col("text").rlike(_BROKEN), F.regexp_replace("text", _BREAK, " ")).otherwise(F.col("text"))
         weak = cut_lineage(weak_candidates(self.words, self.fixes))
-        listed = self.fixes.select("misread", F.lit(False).alias("weak")).unionByName(weak.select("misread", F.lit(True).alias("weak")).distinct())
+        either = weak.select("misread").unionByName(weak.select(F.col("correction").alias("misread"))).distinct()
+        listed = self.fixes.select("misread", F.lit(False).alias("weak")).unionByName(either.withColumn("weak", F.lit(True)))
         listed = _small(cut_lineage(listed), "misread")
         inner = self.cleaned.select("item_key", _words(whole).alias("words")).select("item_key", "words", F.posexplode("words").alias("at", "misread")).join(listed, "misread")
         hits = cut_lineage(inner.select("item_key", "misread", "weak", F.when(F.col("weak"), _beside(F.col("words"), F.col("at"))).alias("beside")))
         cut = self.judged.select("item_key", F.explode(F.when(F.col("is_hyphen"), F.array("joined")).otherwise(F.split("compound", "-"))).alias("misread"))
         certain = hits.where("not weak").select("item_key", "misread").unionByName(cut).join(_small(self.fixes, "misread"), "misread").select("item_key", "misread", "correction").distinct()
-        occurrences = hits.where("weak").select("item_key", "misread", F.explode("beside").alias("n")).select("item_key", "misread", "n.side", "n.near")
-        return certain.unionByName(supported(occurrences, self.items.where(~_scanned()).select("value"), weak))
+        placed = hits.where("weak").select("item_key", F.col("misread").alias("word"), F.explode("beside").alias("n")).select("item_key", "word", "n.side", "n.near").where("near <> ''")
+        return certain.unionByName(supported(placed, weak))
 
     def defects(self) -> DataFrame:
         """item_key and defect: hyphen, misread, running or page_no; each once."""

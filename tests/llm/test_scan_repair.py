@@ -80,9 +80,9 @@ def test_frequent_misreading_with_few_trusted_occurrences(spark):
 
 
 def test_weak_confusions_need_a_neighbour(spark):
-    # "hause" could be "house" and "rnn" "run": believed beside a word that trusted text has beside the frequent one
+    # "hause" could be "house" and "rnn" "run": believed where scanned text has the frequent one beside the same word
     trusted = [(k, 1, 1, "text", "native", k, "the old house was sold before the next run began again") for k in range(1, 60)]
-    scans = [(101, 2, 1, "text", "ocr", 0, "an old hause burned"), (102, 2, 1, "text", "ocr", 1, "zu hause bleiben"), (103, 2, 1, "text", "ocr", 2, "our next ruu ended"), (104, 2, 1, "text", "ocr", 3, "hause"), (105, 2, 1, "text", "ocr", 4, "the house stood")]
+    scans = [(101, 2, 1, "text", "ocr", 0, "an old hause burned"), (102, 2, 1, "text", "ocr", 1, "zu hause bleiben"), (103, 2, 1, "text", "ocr", 2, "our next ruu ended"), (104, 2, 1, "text", "ocr", 3, "hause"), (105, 2, 1, "text", "ocr", 4, "the old house stood"), (106, 2, 1, "text", "ocr", 5, "the next run began")]
     noise = S.ScanNoise(*tables(spark, [*trusted, *scans]))
     assert {tuple(r) for r in noise.misread_words().collect()} == {(101, "hause", "house"), (103, "ruu", "run")}
     texts = {r["item_key"]: r["repaired"] for r in noise.repaired().collect()}
