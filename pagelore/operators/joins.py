@@ -112,6 +112,22 @@ def similar_box_pairs(rows: DataFrame, on: Sequence[str], key: str, box: str, th
     return scored.select(*on, f"{key}_a", f"{key}_b", "overlap")
 
 
+def duplicate_boxes(rows: DataFrame, on: Sequence[str], key: str, box: str, of_smaller: float = 0.82, iou: float = 0.55, band: float = 200.0) -> DataFrame:
+    """Pairs (key_a < key_b) of equal keys of which one repeats the other: an overlap of
+    `of_smaller` of the smaller box, or an intersection over union of `iou`.
+
+    A small box inside a large one counts, so sizes tell nothing: y bands meet in
+    bins and the exact tests follow. Rows without a valid box repeat nothing.
+    """
+    from pagelore.operators import geometry as G
+
+    valid = rows.where(G.is_valid(F.col(box)))
+    side = lambda p: valid.select(*on, F.col(key).alias(f"{key}_{p}"), F.col(box).alias(f"__{p}"), F.col(f"{box}.y").alias(f"__{p}y"), G.bottom(F.col(box)).alias(f"__{p}e"))
+    pairs = interval_join(side("a"), side("b"), on, ("__ay", "__ae"), ("__by", "__be"), band).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    a, b = F.col("__a"), F.col("__b")
+    return pairs.where((G.of_smaller(a, b) >= of_smaller) | (G.iou(a, b) >= iou)).select(*on, f"{key}_a", f"{key}_b")
+
+
 def nearest_join(points: DataFrame, marks: DataFrame, on: Sequence[str], at: str, mark: str, mark_id: str, key: str, tolerance: float) -> DataFrame:
     """Each point with its nearest mark within a tolerance, if exactly one is nearest.
 

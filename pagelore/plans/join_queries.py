@@ -31,6 +31,11 @@ def similar_boxes(spark: SparkSession, d: str) -> DataFrame:
     return J.similar_box_pairs(rows, PAGE, "item_key", "bbox", 0.5).select("item_key_a", "item_key_b", F.round("overlap", 6).alias("overlap"))
 
 
+def type_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Items of one type and page of which one repeats the other, tables among them."""
+    return J.duplicate_boxes(_boxed(spark, d), [*PAGE, "type"], "item_key", "bbox").select("type", "item_key_a", "item_key_b")
+
+
 def containment_join(spark: SparkSession, d: str) -> DataFrame:
     """Items whose centre lies in the box of a table, image or form of the same page."""
     rows = _boxed(spark, d)
@@ -142,7 +147,7 @@ def caption_verdicts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        box_overlap_pairs, similar_boxes, containment_join, interval_stab, interval_conflicts, supplier_conflicts, nearest_tick, asof_prior_event, asof_prior_block,
+        box_overlap_pairs, similar_boxes, type_duplicates, containment_join, interval_stab, interval_conflicts, supplier_conflicts, nearest_tick, asof_prior_event, asof_prior_block,
         page_adjacency, listed_items, failed_page_items, pages_without_items, parity_diff, caption_verdicts,
     )
 }
@@ -160,6 +165,11 @@ ORACLE = {
         WITH {_BOXED} SELECT a.item_key AS item_key_a, b.item_key AS item_key_b, round({_INTER} / greatest(a.w * a.h, b.w * b.h), 6) AS overlap
         FROM b a JOIN b ON {_PAIR} AND a.item_key < b.item_key WHERE {_INTER} / greatest(a.w * a.h, b.w * b.h) >= 0.5
     """,
+    "type_duplicates": f"""
+        WITH {_BOXED} SELECT a.type, a.item_key AS item_key_a, b.item_key AS item_key_b
+        FROM b a JOIN b ON {_PAIR} AND a.type = b.type AND a.item_key < b.item_key
+        WHERE {_INTER} / least(a.w * a.h, b.w * b.h) >= 0.82 OR {_INTER} / (a.w * a.h + b.w * b.h - {_INTER}) >= 0.55
+    """,
     "containment_join": f"""
         WITH {_BOXED} SELECT a.item_key, b.item_key AS owner_key FROM b a JOIN b ON {_PAIR} AND a.type NOT IN ('table', 'image', 'form') AND b.type IN ('table', 'image', 'form')
         WHERE a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h

@@ -279,6 +279,24 @@ def test_markdown_and_newlines(spark):
     assert got == {1: "###### Title\n\n1. a\n3. b\n\n```\nx = 1\n```\n", 2: "\n"}
 
 
+def test_duplicate_boxes_against_all_pairs(spark):
+    boxes = [(0.0, 0.0, 100.0, 100.0), (10.0, 10.0, 20.0, 20.0), (0.0, 0.0, 60.0, 100.0), (0.0, 50.0, 100.0, 100.0), (5.0, 900.0, 10.0, 10.0), None, (0.0, 0.0, 0.0, 5.0), (0.0, 0.0, 100.0, 100.0)]
+    rows = [(p, k, b) for p in (1, 2) for k, b in enumerate(boxes)]
+    df = spark.createDataFrame(rows, "p int, k int, box struct<x:double,y:double,width:double,height:double>")
+
+    def same(a, b):
+        if not a or not b or min(*a[2:], *b[2:]) <= 0:
+            return False
+        over = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        one, two = a[2] * a[3], b[2] * b[3]
+        return over / min(one, two) >= 0.82 or over / (one + two - over) >= 0.55
+
+    want = {(p, i, j) for p in (1, 2) for i, a in enumerate(boxes) for j, b in enumerate(boxes) if i < j and same(a, b)}
+    got = [tuple(r) for r in J.duplicate_boxes(df, ["p"], "k", "box").collect()]
+    assert set(got) == want and len(got) == len(want) and (1, 0, 1) in want
+    assert J.duplicate_boxes(df.limit(0), ["p"], "k", "box").count() == 0
+
+
 def test_headings_of_any_level(spark):
     levels = [1, 8, 9, 12, 9, None, 8, 20]
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate(levels)], "d int, k int, level int")
