@@ -94,3 +94,43 @@ def test_rows(spark):
     assert R.garbled_rows(items.limit(0), models, alphabet).count() == 0
     assert R.train_models(docs.limit(0)) == ({}, "")
     assert R.garbled_rows(items, {}, "").where("item_key = 1").count() == 2
+
+
+def test_models_come_from_all_texts_to_their_ends(spark):
+    """Late signs in 450 texts of 5,000 characters: three of them are one in 150, two are not."""
+    filler = "der die das und ist nicht mit von " * 150
+    texts = [filler + f"{i}. Ende" + (" ʒilian" if i < 3 else "") + (" ɸorta" if i < 2 else "") + " schlusswort" for i in range(450)]
+    docs = spark.createDataFrame([(t, "de") for t in texts], "text string, lang string")
+    models, alphabet = R.train_models(docs)
+    assert "ʒ" in alphabet and "ɸ" not in alphabet
+    assert " schlusswort".encode() in models["de"] and " ɸorta".encode() in models["de"]
+    assert (models, alphabet) == R.train_models(docs.repartition(7)) == R.fit_models({"de": texts})
+    # more phrases than the driver asks for at first do not fit or are there already
+    assert R.train_models(docs, dict_bytes=40) == R.fit_models({"de": texts}, 40)
+
+
+def test_counts_add_up_whenever_they_come_out():
+    rows = [(k, t) for k, v in TEXT.items() for t in v * 3]
+
+    def total(at_most):
+        out = {}
+        for language, kind, keys, n in R.count_texts(rows, at_most):
+            for key, c in zip(keys, n, strict=True):
+                out[language, kind, key] = out.get((language, kind, key), 0) + c
+        return out
+
+    once = total(1_000_000)
+    assert total(5) == once
+    assert once["de", "text", ""] == 6 and once["de", "char", "ä"] == 6 and once["de", "phrase", " und die"] == 3
+    assert ("de", "phrase", " und die erklärung") in once and ("de", "phrase", " und die erklärung jährlich") not in once
+
+
+def test_dictionary_skips_what_does_not_fit_or_is_held():
+    assert R.dictionary_of(["und die", "und", "x" * 50, "oder", "auch"], 12) == ("oderund die".encode(), True)
+    assert R.dictionary_of(["und die"], 12) == (b"und die", False)
+
+
+def test_spaces_that_do_not_break_are_known(length):
+    assert length("zu\xa0§") - length("zu §") < R.NOVELTY_COST
+    for t in ("Subject to\xa0§\xa08.4, the liability", "tolerances are 410\xa0µm.", "Die Behörde\xa0prüft die Gebühr: £735"):
+        assert R.repair(t, length) == (t, "", False, True)
